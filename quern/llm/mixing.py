@@ -23,7 +23,7 @@ from quern.llm.common import discard, materialize, small
 
 WORD = r"[^\x20\x09-\x0D]+"
 WORD_AND_SPACE_BEFORE = r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"
-ROWS_A_BUCKET = 16_384
+ROWS_A_BUCKET = 1_024
 KEY_BITS = 60
 
 
