@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import chat, mixing, packing, simhash, warc
+from quern.llm import chat, licenses, media, mixing, packing, simhash, warc
 
 from quern.llm.common import materialize
 
@@ -44,6 +44,14 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.fingerprint_hex(F.col("fp")).alias("fingerprint"), F.col("first.id").alias("component_id"))
 
 
+def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_features(_read(spark, sf_dir, "documents"))
+
+
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(_read(spark, sf_dir, "documents"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_taken(_read(spark, sf_dir, "documents"))
 
@@ -53,6 +61,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_packing": op4_packing,
     "op5_warc": op5_warc,
     "op6_simhash": op6_simhash,
+    "op7_media": op7_media,
+    "op8_licenses": op8_licenses,
     "op9_mixing": op9_mixing,
 }
 
