@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import chat, licenses, media, mixing, packing, simhash, warc
+from quern.llm import chat, licenses, lm, media, mixing, packing, simhash, toxicity, warc
 
 from quern.llm.common import materialize
 
@@ -29,6 +29,11 @@ def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_conversations(turns.union(more)))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = toxicity.score_toxicity(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+    return found.select("doc_id", "held_out", "score", "predicted", "margin")
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -56,14 +61,20 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_taken(_read(spark, sf_dir, "documents"))
 
 
+def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_texts(_read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat": op1_chat,
+    "op2_toxicity": op2_toxicity,
     "op4_packing": op4_packing,
     "op5_warc": op5_warc,
     "op6_simhash": op6_simhash,
     "op7_media": op7_media,
     "op8_licenses": op8_licenses,
     "op9_mixing": op9_mixing,
+    "op10_lm": op10_lm,
 }
 
 ORACLES: dict[str, str] = {"op1_chat": chat.ORACLE, "op5_warc": warc.ORACLE, "op9_mixing": mixing.ORACLE}
