@@ -17,6 +17,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +29,8 @@ from quern.llm.common import by_bytes, materialize, small, text_or_empty
 
 LENGTH = 1024
 END = 0
-#: Words that a worker keeps with their ids; when full it starts anew.
-CACHE_WORDS = 300_000
+#: Words that a worker keeps with their ids, from one task to the next; when full it starts anew.
+CACHE_WORDS = 1_000_000
 
 #: The vocabulary's own splitting rule, for texts whose letters are all in these ranges (other texts go to the tokenizer whole).
 LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
@@ -64,12 +65,18 @@ class WordTokens:
         return [b"".join(map(get, ws)) if ws is not None else self.encode_all([t])[0] for t, ws in zip(texts, words, strict=True)]
 
 
+@cache
+def word_tokens(path: str) -> WordTokens:
+    """The worker's own, so its words outlast a task."""
+    return WordTokens(path)
+
+
 def tokenize(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, part, start_in_part, tokens, ids): ids with the end token, as bytes; in the order of the partition."""
     kind = docs.schema[doc_id].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part, at = WordTokens(tokenizer), TaskContext.get().partitionId(), 0
+        encode, part, at = word_tokens(tokenizer), TaskContext.get().partitionId(), 0
         end = np.array([END], dtype=encode.dtype).tobytes()
         for batch, texts in by_bytes(batches, "text"):
             ids = [x + end for x in encode(texts)]
@@ -135,7 +142,7 @@ def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, keep_ids: bool =
     ``continues`` and ``continued`` are the boundary records: the piece begins, or
     ends, within its document. All sequences but the last are full.
     """
-    wide = WordTokens(tokenizer).dtype.itemsize > 2
+    wide = word_tokens(tokenizer).dtype.itemsize > 2
     tokens = materialize(tokenize(docs, tokenizer), "pack-tokens")
     starts = materialize(partition_starts(tokens), "pack-starts")
     return cut(tokens.join(small(starts, 2_000_000), "part"), wide, length, keep_ids)
