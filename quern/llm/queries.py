@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import chat, licenses, lm, media, mixing, packing, simhash, toxicity, warc
+from quern.llm import ann, chat, licenses, lm, media, mixing, packing, simhash, toxicity, warc
 
 from quern.llm.common import materialize
 
@@ -34,6 +34,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "score", "predicted", "margin")
 
 
+def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -68,6 +72,7 @@ def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat": op1_chat,
     "op2_toxicity": op2_toxicity,
+    "op3_neighbours": op3_neighbours,
     "op4_packing": op4_packing,
     "op5_warc": op5_warc,
     "op6_simhash": op6_simhash,
