@@ -36,7 +36,10 @@ WINDOW = 32
 #: A random 32-bit number for each byte, by rule.
 GEAR = np.frombuffer(b"".join(hashlib.blake2b(bytes([k]), digest_size=4, person=b"gear").digest() for k in range(256)), dtype="<u4").astype(np.uint32)
 
-CHUNKS = "array<struct<digest:binary,length:int,owned:boolean>>"
+#: Where a chunk's bytes are: among the file's own, in its row's pool for other files to fetch, or in another file's pool.
+OWN, POOL, ELSEWHERE = 0, 1, 2
+CHUNKS = "array<struct<digest:binary,length:int,place:int>>"
+PIECES = "array<struct<digest:binary,bytes:binary>>"
 
 
 def pad(data: bytes) -> bytes:
@@ -138,76 +141,68 @@ def chunk_lists(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
 
 def sharing(lists: DataFrame) -> DataFrame:
-    """Who stores what, for files that are repeated or hold chunks kept elsewhere.
+    """Who stores what, for files that are repeated or share chunks with others.
 
-    (key, writer, elsewhere): the row that writes the file, and for each chunk that
-    another file keeps (digest, owner). A chunk's owner is the smallest key that holds it.
+    (key, writer, elsewhere, given): the row that writes the file, the digests of its
+    chunks that other files keep, and of those that it keeps for others. A chunk's
+    keeper is the smallest key that holds it.
     """
     files = lists.groupBy("key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"))).alias("writer"), F.count(F.lit(1)).alias("n"), F.first("digests").alias("digests"))
     files = materialize(files, "media-files")
     held = files.select("key", F.explode(F.array_distinct("digests")).alias("digest"))
-    owners = held.groupBy("digest").agg(F.min("key").alias("owner"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "owner")
-    owners = materialize(owners, "media-owners")
-    foreign = held.join(small(owners), "digest").where("owner <> key").groupBy("key").agg(F.collect_list(F.struct("digest", "owner")).alias("elsewhere"))
-    return files.join(foreign, "key", "left").where("n > 1 or elsewhere is not null").select("key", "writer", "elsewhere")
+    keepers = held.groupBy("digest").agg(F.min("key").alias("keeper"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "keeper")
+    keepers = materialize(keepers, "media-keepers")
+    given = keepers.groupBy(F.col("keeper").alias("key")).agg(F.collect_list("digest").alias("given"))
+    foreign = held.join(small(keepers), "digest").where("keeper <> key").groupBy("key").agg(F.collect_list("digest").alias("elsewhere"))
+    several = files.select("key", "writer", "n").join(foreign, "key", "left").join(given, "key", "left")
+    return several.where("n > 1 or elsewhere is not null or given is not null").drop("n")
 
 
 def store(docs: DataFrame, shared: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, complete, chunks, data): each file's chunk list, and the bytes of the chunks that it owns."""
+    """(key, complete, chunks, data, pool): each file's chunk list, its own bytes, and the chunks that others fetch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in by_bytes(batches, "text"):
             files = [to_media(pad(t.encode())) for t in texts]
-            lists, data, complete = [], [], []
-            for f, ends, away in zip(files, cut_points(files), batch.column("away").to_pylist(), strict=True):
-                seen, chunks, own = set(away or []), [], []
+            lists, data, pools, complete = [], [], [], []
+            for f, ends, away, given in zip(files, cut_points(files), batch.column("away").to_pylist(), batch.column("given").to_pylist(), strict=True):
+                places = dict.fromkeys(away or [], ELSEWHERE) | dict.fromkeys(given or [], POOL)
+                chunks, own, pool, seen = [], [], [], set()
                 for c in split(f, ends):
                     d = chunk_digest(c)
-                    chunks.append({"digest": d, "length": len(c), "owned": d not in seen})
-                    if d not in seen:
-                        own.append(c)
-                        seen.add(d)
-                lists.append(chunks), data.append(b"".join(own)), complete.append(not away)
-            kind = pa.list_(pa.struct([("digest", pa.binary()), ("length", pa.int32()), ("owned", pa.bool_())]))
-            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(complete), pa.array(lists, kind), pa.array(data, pa.binary())], ["key", "complete", "chunks", "data"])
+                    place = places.get(d, OWN)
+                    chunks.append({"digest": d, "length": len(c), "place": place})
+                    if place != ELSEWHERE and d not in seen:
+                        pool.append({"digest": d, "bytes": c}) if place == POOL else own.append(c)
+                    seen.add(d)
+                lists.append(chunks), data.append(b"".join(own)), pools.append(pool), complete.append(not away)
+            kind = pa.list_(pa.struct([("digest", pa.binary()), ("length", pa.int32()), ("place", pa.int32())]))
+            piece = pa.list_(pa.struct([("digest", pa.binary()), ("bytes", pa.binary())]))
+            columns = [batch.column("key"), pa.array(complete), pa.array(lists, kind), pa.array(data, pa.binary()), pa.array(pools, piece)]
+            yield pa.RecordBatch.from_arrays(columns, ["key", "complete", "chunks", "data", "pool"])
 
     rows = _rows(docs, doc_id, text).join(small(shared), "key", "left")
-    rows = rows.where("writer is null or doc_id <=> writer.id").select("key", "text", F.col("elsewhere.digest").alias("away"))
-    return rows.mapInArrow(run, f"key binary, complete boolean, chunks {CHUNKS}, data binary")
+    rows = rows.where("writer is null or doc_id <=> writer.id").select("key", "text", F.col("elsewhere").alias("away"), "given")
+    return rows.mapInArrow(run, f"key binary, complete boolean, chunks {CHUNKS}, data binary, pool {PIECES}")
 
 
 def restore(stored: DataFrame, shared: DataFrame) -> DataFrame:
     """(key, media): the stored files, put together and verified; a key that was stored twice comes twice."""
-    whole = stored.where("complete").select("key", "chunks", "data", F.lit(None).cast("array<struct<digest:binary,bytes:binary>>").alias("fetched"))
-    wanted = shared.where("elsewhere is not null").select("key", F.explode("elsewhere").alias("e")).select("key", "e.digest", "e.owner")
-    asked = wanted.groupBy("owner").agg(F.collect_set("digest").alias("digests"))
-
-    def give(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for chunks, data, digests in zip(*(batch.column(c).to_pylist() for c in ("chunks", "data", "digests")), strict=True):
-                left, at, found = set(digests), 0, []
-                for c in chunks:
-                    if c["owned"]:
-                        if c["digest"] in left:
-                            found.append((c["digest"], data[at : at + c["length"]]))
-                            left.discard(c["digest"])
-                        at += c["length"]
-                if found:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in zip(*found, strict=True)], ["digest", "bytes"])
-
-    owners = stored.join(asked, stored["key"] == asked["owner"]).select("chunks", "data", "digests")
-    given = materialize(owners.mapInArrow(give, "digest binary, bytes binary").dropDuplicates(["digest"]), "media-given")
-    fetched = wanted.join(given, "digest").groupBy("key").agg(F.collect_list(F.struct("digest", "bytes")).alias("fetched"))
-    parts = stored.where("not complete").join(fetched, "key").select("key", "chunks", "data", "fetched")
+    whole = stored.where("complete").select("key", "chunks", "data", "pool", F.lit(None).cast(PIECES).alias("fetched"))
+    pool = stored.select(F.explode("pool").alias("p")).select("p.digest", "p.bytes").dropDuplicates(["digest"])
+    pool = materialize(pool, "media-pool")
+    wanted = shared.where("elsewhere is not null").select("key", F.explode("elsewhere").alias("digest"))
+    fetched = wanted.join(pool, "digest").groupBy("key").agg(F.collect_list(F.struct("digest", "bytes")).alias("fetched"))
+    parts = stored.where("not complete").join(fetched, "key").select("key", "chunks", "data", "pool", "fetched")
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, _ in by_bytes(batches, "data"):
             files = []
-            for chunks, data, fetched in zip(*(batch.column(c).to_pylist() for c in ("chunks", "data", "fetched")), strict=True):
-                known = {x["digest"]: x["bytes"] for x in fetched or []}
+            for chunks, data, pool, fetched in zip(*(batch.column(c).to_pylist() for c in ("chunks", "data", "pool", "fetched")), strict=True):
+                known = {x["digest"]: x["bytes"] for x in [*(pool or []), *(fetched or [])]}
                 at, out = 0, []
                 for c in chunks:
-                    if c["owned"]:
+                    if c["place"] == OWN and c["digest"] not in known:
                         known[c["digest"]] = data[at : at + c["length"]]
                         at += c["length"]
                     piece = known[c["digest"]]
