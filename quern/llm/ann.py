@@ -249,7 +249,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = NEAREST, vec_id: str
 
     def compare(q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(v):
-            return pd.DataFrame({"query_id": [], "ids": [], "scores": []})
+            return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "ids": pd.Series(dtype=object), "scores": pd.Series(dtype=object)})
         x, ids = matrix(v["vector"].tolist()), v["vec_id"].to_numpy()
         s = matrix(q["vector"].tolist()) @ x.T
         out = []
