@@ -34,11 +34,13 @@ from quern.llm.common import by_bytes, held_out, text_or_empty
 
 THRESHOLD = 0.3
 #: Most documents of a class, and the longest text among them, that training reads.
-SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_CHARS = 1_000, 2_000, 50_000
+SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_CHARS = 600, 1_200, 50_000
 ORDERS, GAPS, DECAY = (2, 3, 4), 2, 0.6
 LANDMARKS = 160
 #: Letters of a word that are compared at once; longer words are compared in overlapping windows.
 LETTERS, STRIDE = 20, 10
+#: Toxic words that training also sees with an inserted letter.
+DISGUISED = 200
 CACHE_WORDS = 400_000
 LOWEST = -3.0
 
@@ -157,7 +159,10 @@ class Landmarks:
         return self._by_length(words, self.table, 512)
 
     def features(self, words: list[str]) -> np.ndarray:
-        return self.kernel(words) @ self.project
+        out = np.empty((len(words), self.project.shape[1]), dtype=np.float32)
+        for a in range(0, len(words), 8_192):
+            out[a : a + 8_192] = self.kernel(words[a : a + 8_192]) @ self.project
+        return out
 
     def weigh(self, weights: np.ndarray) -> None:
         """Prepare :meth:`margins` for a weight of each feature."""
@@ -191,20 +196,27 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * margin + self.shift, -40, 40)))
 
 
-def fit_svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, ridge: float = 1.0, rounds: int = 30) -> tuple[np.ndarray, float]:
-    """Linear SVM with squared hinge loss, by Newton steps on the rows inside the margin."""
-    z = np.hstack([x, np.ones((len(x), 1))]).astype(np.float64)
-    penalty = np.full(z.shape[1], ridge)
-    penalty[-1] = 1e-6
-    w = np.zeros(z.shape[1])
+def fit_svm(x: np.ndarray, toxic_cost: np.ndarray, clean_cost: np.ndarray, ridge: float = 1.0, rounds: int = 30, at_once: int = 8_192) -> tuple[np.ndarray, float]:
+    """Linear SVM with squared hinge loss, by Newton steps on the rows inside the margin.
+
+    A row counts as a toxic and as a clean example, each at its cost; it is read in blocks.
+    """
+    size = x.shape[1] + 1
+    penalty = np.append(np.full(size - 1, ridge), 1e-6)
+    w = np.zeros(size)
     for _ in range(rounds):
-        inside = y * (z @ w) < 1
-        zi, ci = z[inside], cost[inside]
-        new = np.linalg.solve(zi.T @ (zi * ci[:, None]) + np.diag(penalty), zi.T @ (ci * y[inside]))
+        gram, target = np.diag(penalty), np.zeros(size)
+        for a in range(0, len(x), at_once):
+            z = np.hstack([x[a : a + at_once], np.ones((len(x[a : a + at_once]), 1), dtype=x.dtype)]).astype(np.float64)
+            m = z @ w
+            up, down = toxic_cost[a : a + at_once] * (m < 1), clean_cost[a : a + at_once] * (m > -1)
+            gram += z.T @ (z * (up + down)[:, None])
+            target += z.T @ (up - down)
+        new = np.linalg.solve(gram, target)
         if np.allclose(new, w, atol=1e-9):
             break
         w = new
-    return w[:-1], float(w[-1])
+    return w[:-1].astype(np.float32), float(w[-1])
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[float, float]:
@@ -249,37 +261,45 @@ def landmarks_of(*groups: list[str]) -> Landmarks:
     return Landmarks(list(dict.fromkeys(w[:LETTERS] for g in groups for w in g)))
 
 
+def disguise(word: str) -> str:
+    """The word with a letter put in near its middle, another for each word."""
+    k = max(1, len(word) // 2)
+    return word[:k] + "xqzj"[sum(map(ord, word)) % 4] + word[k:]
+
+
 def train(texts: list[str], toxic: list[int], rounds: int = 4) -> Model | None:
     """A model of labelled documents; None if only one class is there."""
     y = np.array(toxic) > 0
     if not y.any() or y.all():
         return None
-    docs = [[s for s in map(tokens_of, SENTENCE.split(t)) if s] for t in texts]
+    at: dict[str, int] = {}  # each word once: sentences are arrays of numbers
+    bags: list[list[np.ndarray]] = []
     counts, of_grams = (Counter(), Counter()), (Counter(), Counter())
-    for sentences, bad in zip(docs, y, strict=True):
+    for text, bad in zip(texts, y, strict=True):
+        sentences = [s for s in map(tokens_of, SENTENCE.split(text)) if s]
         own = {w for s in sentences for w in s}
-        counts[int(bad)].update(own)
+        counts[int(bad)].update(at.setdefault(w, len(at)) for w in own)
         of_grams[int(bad)].update({g for w in own for g in grams(w)})
+        bags.append([np.array([at[w] for w in s], dtype=np.int32) for s in sentences])
     n1, n0 = int(y.sum()), int((~y).sum())
-    known = sorted(set(counts[0]) | set(counts[1]))
-    at = {w: k for k, w in enumerate(known)}
-    clean = np.array([counts[0][w] for w in known])
+    known = list(at)
+    clean = np.array([counts[0][k] for k in range(len(known))])
     names = list(of_grams[0] | of_grams[1])
     odd = dict(zip(names, surprise(np.array([of_grams[1][g] for g in names]), np.array([of_grams[0][g] for g in names]), n1, n0).tolist(), strict=True))
     # A first guess: a word is as suspect as the oddest four letters in it.
     margin = np.array([max(odd[g] for g in grams(w)) for w in known])
+    del odd, names, of_grams
     few = LANDMARKS // 4
     bad_marks, common = spread(highest(known, margin, margin > 0), few, 0.45), spread(highest(known, clean.astype(float), clean > 0), few, 0.5)
     marks = landmarks_of(bad_marks, common)
-    short = [w[:LETTERS] for w in known]
+    short = [w[:LETTERS] for w in known] + [""] * DISGUISED  # with room for disguised words
     x = marks.features(short)
-    bags = [[np.array([at[w] for w in s]) for s in sentences] for sentences in docs]
-    every = np.flatnonzero(clean > 0)
-    weights, bias = np.zeros(x.shape[1]), 0.0
+    weights, bias = np.zeros(x.shape[1], dtype=np.float32), 0.0
     for k in range(rounds):
         if k in (1, 2):  # what was mistaken for toxic so far gets landmarks of its own
             common = common + spread([w for w in highest(known, margin, clean > 0) if w not in common], few, 0.6)
             marks = landmarks_of(bad_marks, common)
+            del x
             x = marks.features(short)
         good, bad = [], []
         for sentences, is_bad in zip(bags, y, strict=True):
@@ -289,12 +309,17 @@ def train(texts: list[str], toxic: list[int], rounds: int = 4) -> Model | None:
                 bad += [w for w in worst if margin[w] >= (0.6 * top if top > 0 else top)]
             else:
                 good += worst
-        # Negatives: the worst of each clean sentence, and each clean word once.
-        rows = np.concatenate([bad, good, every]).astype(int)
-        sign = np.concatenate([np.ones(len(bad)), -np.ones(len(good) + len(every))])
-        cost = np.concatenate([np.full(len(bad), 1 / max(1, len(bad))), np.full(len(good), 0.5 / max(1, len(good))), np.full(len(every), 0.5 / max(1, len(every)))]) * 7.0 * len(y)
-        weights, bias = fit_svm(x[rows], sign, cost)
-        margin = x @ weights + bias
+        # Clean examples: the worst of each clean sentence, and each clean word once.
+        share = lambda some: np.bincount(np.array(some, dtype=int), minlength=len(known)) / max(1, len(some))
+        clean_cost = 0.5 * share(good) + 0.5 * (clean > 0) / max(1, (clean > 0).sum())
+        cost = share(bad)
+        # The words that count most as toxic count again with a letter put in.
+        chief = np.argsort(-cost, kind="stable")[:DISGUISED]
+        chief = chief[cost[chief] > 0]
+        x[len(known) : len(known) + len(chief)] = marks.features([disguise(known[k])[:LETTERS] for k in chief])
+        room = np.zeros(DISGUISED)
+        weights, bias = fit_svm(x, np.concatenate([cost, 0.3 * cost[chief], room[len(chief) :]]) * 7.0 * len(y), np.append(clean_cost, room) * 7.0 * len(y))
+        margin = x[: len(known)] @ weights + bias
     marks.weigh(weights)
     model = Model(marks, bias)
     worst = np.array([max((margin[s].max() for s in sentences), default=LOWEST) for sentences in bags])
