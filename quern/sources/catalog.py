@@ -25,7 +25,7 @@ class Table:
     indexes: dict[str, str] = field(default_factory=dict)
     base: int = 0  # revision up to which the base files go; 0: none
     base_rows: int = 0
-    deltas: list[tuple[int, int]] = field(default_factory=list)  # committed (revision, rows)
+    deltas: list[tuple[int, int, bool]] = field(default_factory=list)  # committed (revision, rows, whether it may hold new keys)
 
     @property
     def schema(self) -> T.StructType:

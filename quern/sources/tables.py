@@ -40,7 +40,7 @@ class Storage:
         return self.spark.read.schema(t.schema).parquet(f"{self.folder(t)}/base/rev={t.base}")
 
     def deltas(self, t: Table, upto: int | None = None) -> DataFrame | None:
-        paths = [f"{self.folder(t)}/delta/rev={r}" for r, _ in t.deltas if r > t.base and (upto is None or r <= upto)]
+        paths = [f"{self.folder(t)}/delta/rev={r}" for r, *_ in t.deltas if r > t.base and (upto is None or r <= upto)]
         return self.spark.read.schema(self.delta_schema(t)).parquet(*paths) if paths else None
 
     def changes(self, t: Table, deltas: DataFrame) -> DataFrame:
@@ -69,7 +69,7 @@ class Storage:
         if not t.base:
             made = changes.where(alive)
             return made.select(*((value(c, F.lit(None)) if c not in t.key else F.col(c)).alias(c) for c in columns))
-        rows = sum(n for r, n in t.deltas if r > t.base)
+        rows = sum(n for r, n, _ in t.deltas if r > t.base and (upto is None or r <= upto))
         if rows <= BROADCAST_ROWS:
             changes = F.broadcast(changes)
         b, d = self.base(t).alias("b"), changes.alias("d")
@@ -79,6 +79,8 @@ class Storage:
         old = lambda c: F.when(F.col("_deleted").isNull(), F.col(f"b.{c}"))
         merged = b.join(d, same, "left").where(~touched | alive)
         merged = merged.select(*((F.col(f"b.{c}") if c in t.key else F.when(touched, value(c, old(c))).otherwise(F.col(f"b.{c}"))).alias(c) for c in columns))
+        if not any(whole for r, _, whole in t.deltas if r > t.base and (upto is None or r <= upto)):
+            return merged  # only deletions and changes to rows that the base has
         held = self.base(t).select(*t.key).alias("b").join(d, same, "left_semi").alias("b")
         if rows <= BROADCAST_ROWS:
             held = F.broadcast(held)
@@ -102,7 +104,7 @@ class Storage:
             out.write.mode("overwrite").parquet(path)
             count = self.spark.read.schema(self.delta_schema(t)).parquet(path).count()
             if count:
-                t.deltas.append((revision, count))
+                t.deltas.append((revision, count, sets is None and not (isinstance(op, str) and op == "D")))
             self.catalog.save()
             return count
 
@@ -113,11 +115,11 @@ class Storage:
     def compact(self, t: Table, keep: int | None = None) -> int:
         """Fold changes up to a revision into new base files, sorted by key; the base's rows."""
         with self.catalog.lock:
-            past = [r for r, _ in t.deltas if r > t.base and (keep is None or r <= keep)]
+            past = [r for r, *_ in t.deltas if r > t.base and (keep is None or r <= keep)]
             if not past:
                 return t.base_rows
             revision = max(past)
-            rows = t.base_rows + sum(n for r, n in t.deltas if r <= revision)
+            rows = t.base_rows + sum(n for r, n, _ in t.deltas if r <= revision)
             files = max(1, -(-rows // ROWS_A_FILE))
             out = self.view(t, revision).repartitionByRange(files, *t.key).sortWithinPartitions(*t.key)
             writer = out.write.mode("overwrite")
@@ -135,7 +137,7 @@ class Storage:
         """Delete files that no committed state refers to."""
         folder = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder(t))
         fs = folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        wanted = {"base": {t.base}, "delta": {r for r, _ in t.deltas}}
+        wanted = {"base": {t.base}, "delta": {r for r, *_ in t.deltas}}
         for part, keep in wanted.items():
             where = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder(t)}/{part}")
             if fs.exists(where):

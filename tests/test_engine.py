@@ -91,11 +91,14 @@ def test_upsert_update_delete(engine):
     assert [r[0] for r in before] == [1, 2, 3, 4, 5, 6, 7, 9, 108] and before[-2] == (9, "", 0)
     e.execute("ADMIN COMPACT")
     assert rows(e, "SELECT * FROM r ORDER BY id") == before
+    assert rows(e, "SELECT COUNT(*) AS n FROM r") == [(9,)]
     e.execute("UPDATE r SET v = 'z' WHERE id = 9")
+    e.execute("DELETE FROM r WHERE id = 1")
+    assert rows(e, "SELECT COUNT(*) AS n FROM r") == [(8,)]
     again = Engine(e.spark, e.catalog.root)
     assert rows(again, "SELECT v, score FROM r WHERE id = 9") == [("z", 0)]
     again.storage.vacuum(again.catalog.table("r"))
-    assert len(rows(again, "SELECT * FROM r")) == 9
+    assert len(rows(again, "SELECT * FROM r")) == 8
 
 
 def test_compaction_sets_in_by_itself(engine):
