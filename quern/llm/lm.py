@@ -164,6 +164,23 @@ def train(pairs: np.ndarray, steps: int = STEPS, seed: int = 0) -> np.ndarray:
     return (energy - np.log(np.exp(energy).sum(1, keepdims=True))) / np.log(10)
 
 
+def columns_of(words: DataFrame) -> list[np.ndarray]:
+    """Words, of a bounded number, on the driver: hashes, bins and counts."""
+    rows = words.select("hash", "bin", "c").toArrow()
+    return [rows.column(c).to_numpy() for c in ("hash", "bin", "c")]
+
+
+def least_count(words: DataFrame, most: int) -> int:
+    """The least power of two that at most ``most`` words reach in count; a row per power is gathered."""
+    power = F.floor(F.log2("c")).cast("int").alias("power")
+    total = 0
+    for r in sorted(words.groupBy(power).agg(F.count(F.lit(1)).alias("n")).collect(), reverse=True):
+        total += r["n"]
+        if total > most:
+            return 2 ** (r["power"] + 1)
+    return 1
+
+
 def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """A row per document: its tokens, the unigram base score and the model's score, in log10."""
     kind = docs.schema[doc_id].dataType.simpleString()
@@ -176,17 +193,16 @@ def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     texts = int(counts.where("bin < 0").agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0])
     sums = words.groupBy("bin").agg(F.count(F.lit(1)).alias("v"), F.sum("c").alias("c")).toArrow().to_pydict()
     types, total = sum(sums["v"]) + (texts > 0), sum(sums["c"]) + texts
-    top = words.orderBy(F.desc("c"), "hash").limit(FREQUENT).toArrow()
-    t_hash, t_bin, t_count = (top.column(c).to_numpy() for c in ("hash", "bin", "c"))
-    best = np.lexsort((t_hash, -t_count))[:SHORTLIST]
-    classes = Classes(np.sort(t_hash[best]))
+    best_hash, best_bin, best_count = columns_of(words.orderBy(F.desc("c"), "hash").limit(SHORTLIST))
+    classes = Classes(np.sort(best_hash))
     in_bin, types_in = np.zeros(BINS), np.zeros(BINS)
     in_bin[sums["bin"]], types_in[sums["bin"]] = sums["c"], sums["v"]
-    np.subtract.at(in_bin, t_bin[best], t_count[best])
-    np.subtract.at(types_in, t_bin[best], 1)
+    np.subtract.at(in_bin, best_bin, best_count)
+    np.subtract.at(types_in, best_bin, 1)
     bin_log = np.log10(in_bin + 0.5 * (types_in + 1))
     log_p = train(count_pairs(training, classes))
 
+    t_hash, _, t_count = columns_of(words.where(F.col("c") >= least_count(words, FREQUENT)))
     order = np.argsort(t_hash)
     table = spark.sparkContext.broadcast((t_hash[order], t_count[order]))
     base_log = float(np.log10(total + 0.5 * (types + 1)))
