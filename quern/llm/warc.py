@@ -201,7 +201,7 @@ def convert(arcs: DataFrame, least_bytes: int = 0, key_order: str = "long") -> D
     grouped; payloads stay where they are unless very many are repeated.
     """
     members = materialize(warc_members(arcs), "warc-members", "none")
-    narrow = members.select(F.col(f"key").cast(key_order).alias("key"), "id", "date", "uri", "payload_digest", "payload_bytes").where(f"payload_bytes >= {least_bytes}")
+    narrow = members.select(F.col("key").cast(key_order).alias("key"), "id", "date", "uri", "payload_digest", "payload_bytes").where(f"payload_bytes >= {least_bytes}")
     first = F.max(F.struct("key", "id", "date", "uri")).alias("kept")
     kept = narrow.groupBy("payload_digest").agg(first, F.count(F.lit(1)).alias("n")).where("n > 1").select("payload_digest", "kept")
     kept = small(materialize(kept, "warc-kept"))
