@@ -185,3 +185,52 @@ def test_bi_helpers(engine, tmp_path):
     assert "quern_statement_seconds_count" in e.metrics.prometheus()
     (tmp_path / "s.sql").write_text("SELECT 1; SELECT 'a;b'")
     assert len(e.run_file(f"file://{tmp_path}/s.sql")) == 2
+
+
+def test_admin_views(engine):
+    e = engine
+    e.run_script("CREATE TABLE t (id int PRIMARY KEY, name string); CREATE INDEX n ON t (name); INSERT INTO t VALUES (2, 'b'), (10, 'a')")
+    assert e.sql("ADMIN SHARDS t").count() == 0
+    assert e.execute("ADMIN SPLIT TABLE t AT 5").affected == 2
+    assert [(r["n_rows"], r["start"], r["end"]) for r in e.sql("ADMIN SHARDS t").collect()] == [(2, "{2}", "{10}")]
+    assert [(r["name"], r["key"], r["base_rows"], r["deltas"]) for r in e.sql("ADMIN TABLES").collect()] == [("t", "id", 2, 0)]
+    assert rows(e, "SELECT id FROM t WHERE name = 'a'") == [(10,)]
+    classes = {r["class"]: r["count"] for r in e.sql("ADMIN METRICS").collect()}
+    assert classes["insert"] == 1 and classes["point"] == 1 and e.sql("ADMIN METRICS-JSON").count() >= len(classes)
+
+
+def test_replayed_statements_change_nothing(engine):
+    e = engine
+    e.execute("CREATE TABLE t (id int PRIMARY KEY, v string)")
+    statements = ["INSERT INTO t VALUES (1, 'a'), (2, 'b')", "UPDATE t SET v = 'c' WHERE id = 2", "DELETE FROM t WHERE id = 1"]
+    for s in statements:
+        e.execute(s)
+    once = rows(e, "SELECT * FROM t")
+    for s in statements:
+        e.execute(s)
+    assert rows(e, "SELECT * FROM t") == once == [(2, "c")]
+
+
+def test_uncommitted_changes_are_not_seen(engine):
+    e = engine
+    e.run_script("CREATE TABLE t (id int PRIMARY KEY); INSERT INTO t VALUES (1)")
+    t = e.catalog.table("t")
+    # A crash after writing and before committing leaves a folder that the catalog doesn't list.
+    e.storage.deltas(t).write.parquet(f"{e.storage.folder(t)}/delta/rev=99")
+    assert rows(e, "SELECT COUNT(*) FROM t") == [(1,)]
+    e.storage.vacuum(t)
+    assert not e.catalog.files.exists(f"{e.storage.folder(t)}/delta/rev=99")
+
+
+def test_many_changes_are_joined_by_shuffle(engine, monkeypatch):
+    from quern.sources import tables
+
+    monkeypatch.setattr(tables, "BROADCAST_ROWS", 0)
+    e = engine
+    e.execute("CREATE TABLE t (id int PRIMARY KEY, g int)")
+    e.insert_frame("t", e.spark.range(1000).selectExpr("id", "id % 7 AS g"))
+    e.execute("ADMIN COMPACT")
+    e.execute("UPDATE t SET g = 100 WHERE id < 10")
+    e.execute("DELETE FROM t WHERE id >= 990")
+    e.execute("INSERT INTO t VALUES (5000, 1)")
+    assert rows(e, "SELECT COUNT(*), COUNT_IF(g = 100), MAX(id) FROM t") == [(991, 10, 5000)]
