@@ -50,9 +50,13 @@ def discard(df: DataFrame) -> None:
         jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast if the frame has at most ``rows`` rows, else leave the join to shuffle."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, weight: Column | None = None) -> DataFrame:
+    """Hint a broadcast if the frame has at most ``rows`` rows, else leave the join to shuffle.
+
+    ``weight`` is what a row counts, where rows hold arrays.
+    """
+    n = df.limit(rows + 1).count() if weight is None else df.agg(F.sum(weight)).first()[0] or 0
+    return F.broadcast(df) if n <= rows else df
 
 
 def text_or_empty(c: Column) -> Column:

@@ -181,7 +181,8 @@ def store(docs: DataFrame, shared: DataFrame, doc_id: str = "doc_id", text: str
             columns = [batch.column("key"), pa.array(complete), pa.array(lists, kind), pa.array(data, pa.binary()), pa.array(pools, piece)]
             yield pa.RecordBatch.from_arrays(columns, ["key", "complete", "chunks", "data", "pool"])
 
-    rows = _rows(docs, doc_id, text).join(small(shared), "key", "left")
+    digests = lambda c: F.coalesce(F.array_size(c), F.lit(0))
+    rows = _rows(docs, doc_id, text).join(small(shared, weight=1 + digests("elsewhere") + digests("given")), "key", "left")
     rows = rows.where("writer is null or doc_id <=> writer.id").select("key", "text", F.col("elsewhere").alias("away"), "given")
     return rows.mapInArrow(run, f"key binary, complete boolean, chunks {CHUNKS}, data binary, pool {PIECES}")
 

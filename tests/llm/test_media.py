@@ -43,7 +43,7 @@ def test_round_trip(spark, docs, wide, rows, monkeypatch, broadcast_rows):
     shared = "".join(r.choice("abcdefgh ") for _ in range(30_000))
     more = spark.createDataFrame([(100 + k, shared[k * 100 :] + str(k), "en", "s", 1) for k in range(6)] + [(200, shared + shared, "en", "s", 1)], docs.schema)
     everything = [(x[0], x[1]) for x in rows] + [(x["doc_id"], x["text"]) for x in more.collect()]
-    monkeypatch.setattr(media, "small", lambda df: df.hint("broadcast") if broadcast_rows else df)
+    monkeypatch.setattr(media, "small", lambda df, **_: df.hint("broadcast") if broadcast_rows else df)
     got = media.media_features(docs.union(more)).collect()
     assert len(got) == len(everything)
     want = []
