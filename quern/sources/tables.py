@@ -25,6 +25,7 @@ ROWS_A_FILE = 2_000_000
 class Storage:
     def __init__(self, spark: SparkSession, catalog: Catalog) -> None:
         self.spark, self.catalog = spark, catalog
+        self.bases: dict[str, tuple[int, DataFrame]] = {}  # base files never change, so their listing is kept
 
     def folder(self, t: Table) -> str:
         return f"{self.catalog.root}/{t.name}"
@@ -37,7 +38,11 @@ class Storage:
     def base(self, t: Table) -> DataFrame:
         if not t.base:
             return self.spark.createDataFrame([], t.schema)
-        return self.spark.read.schema(t.schema).parquet(f"{self.folder(t)}/base/rev={t.base}")
+        revision, df = self.bases.get(t.name, (None, None))
+        if revision != t.base:
+            df = self.spark.read.schema(t.schema).parquet(f"{self.folder(t)}/base/rev={t.base}")
+            self.bases[t.name] = (t.base, df)
+        return df
 
     def deltas(self, t: Table, upto: int | None = None) -> DataFrame | None:
         paths = [f"{self.folder(t)}/delta/rev={r}" for r, *_ in t.deltas if r > t.base and (upto is None or r <= upto)]
