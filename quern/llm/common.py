@@ -6,9 +6,12 @@ import atexit
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Hashable, Iterator
+from typing import Any
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,15 +69,26 @@ def text_or_empty(c: Column) -> Column:
 def by_bytes(batches: Iterator[pa.RecordBatch], column: str, limit: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, list]]:
     """Split Arrow batches so that ``column`` holds about ``limit`` bytes a slice (one row at least)."""
     for batch in batches:
-        values = batch.column(column).to_pylist()
-        start = size = 0
-        for i, v in enumerate(values):
-            size += len(v or "")
-            if size >= limit:
-                yield batch.slice(start, i + 1 - start), values[start : i + 1]
-                start, size = i + 1, 0
-        if start < len(values):
-            yield batch.slice(start), values[start:]
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        ends = np.cumsum(sizes, dtype=np.int64)
+        start = 0
+        while start < len(batch):
+            before = ends[start - 1] if start else 0
+            stop = min(len(batch), int(np.searchsorted(ends, before + limit)) + 1)
+            part = batch.slice(start, stop - start)
+            yield part, part.column(column).to_pylist()
+            start = stop
+
+
+_kept: list[tuple[Hashable, Any]] = []
+
+
+def keep(key: Hashable, make: Callable[[], Any]) -> Any:
+    """Something that a Python worker keeps from task to task: one thing at a time, so stages don't add up."""
+    if not _kept or _kept[0][0] != key:
+        _kept.clear()
+        _kept.append((key, make()))
+    return _kept[0][1]
 
 
 #: Maps the bytes A-Z to a-z and leaves all others.

@@ -17,7 +17,6 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,12 +24,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.llm.common import by_bytes, materialize, small, text_or_empty
+from quern.llm.common import by_bytes, keep, materialize, small, text_or_empty
 
 LENGTH = 1024
 END = 0
-#: Words that a worker keeps with their ids, from one task to the next; when full it starts anew.
-CACHE_WORDS = 1_000_000
+#: Words that a worker keeps with their ids, from one task to the next; when full, only those of at most SHORT letters stay.
+CACHE_WORDS, SHORT = 500_000, 7
 
 #: The vocabulary's own splitting rule, for texts whose letters are all in these ranges (other texts go to the tokenizer whole).
 LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
@@ -58,17 +57,18 @@ class WordTokens:
         words = [None if UNUSUAL.search(t) else SPLIT.findall(t) for t in texts]
         new = list({w for ws in words if ws for w in ws}.difference(self.words))
         if len(self.words) + len(new) > CACHE_WORDS:
-            self.words.clear()
-            new = list({w for ws in words if ws for w in ws})
+            self.words = {w: ids for w, ids in self.words.items() if len(w) <= SHORT}
+            if len(self.words) + len(new) > CACHE_WORDS // 2:
+                self.words = {}
+            new = list({w for ws in words if ws for w in ws}.difference(self.words))
         self.words.update(zip(new, self.encode_all(new), strict=True))
         get = self.words.__getitem__
         return [b"".join(map(get, ws)) if ws is not None else self.encode_all([t])[0] for t, ws in zip(texts, words, strict=True)]
 
 
-@cache
 def word_tokens(path: str) -> WordTokens:
     """The worker's own, so its words outlast a task."""
-    return WordTokens(path)
+    return keep(("tokens", path), lambda: WordTokens(path))
 
 
 def tokenize(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -19,9 +19,10 @@ one, so ties and repeated rows get equal scores; an empty table gives none.
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from itertools import combinations
 
 import numpy as np
@@ -30,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import by_bytes, held_out, text_or_empty
+from quern.llm.common import by_bytes, held_out, keep, text_or_empty
 
 THRESHOLD = 0.3
 #: Most documents of a class, and the longest text among them, that training reads.
@@ -41,7 +42,7 @@ LANDMARKS = 160
 LETTERS, STRIDE = 20, 10
 #: Toxic words that training also sees with an inserted letter.
 DISGUISED = 200
-CACHE_WORDS = 400_000
+CACHE_WORDS = 300_000
 LOWEST = -3.0
 
 SENTENCE = re.compile(r"[.!?\n]+")
@@ -178,6 +179,7 @@ class Model:
     bias: float
     slope: float = 1.0
     shift: float = 0.0
+    name: str = field(default_factory=lambda: uuid.uuid4().hex)
 
     def margins(self, words: list[str]) -> np.ndarray:
         """Of whole words: the largest of their windows."""
@@ -389,7 +391,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", t
     kind = docs.schema[doc_id].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        worst = Worst(model) if model else None
+        worst = keep(model.name, lambda: Worst(model)) if model else None
         for batch, _ in by_bytes(batches, "text"):
             margin = worst(batch.column("text")) if worst else np.full(len(batch), LOWEST)
             score = model.score(margin) if model else np.zeros(len(batch))
@@ -406,7 +408,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     model = train(*training_sample(docs, labels))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        worst = Worst(model)
+        worst = keep(model.name, lambda: Worst(model))
         for batch, _ in by_bytes(batches, "text"):
             yield batch.filter(pa.array(model.score(worst(pc.fill_null(batch.column("text"), ""))) < THRESHOLD))
 
