@@ -264,7 +264,19 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = NEAREST, vec_id: str
 
     keys = ["list", "vb", "qb"]
     parts = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(compare, "query_id long, ids array<long>, scores array<double>")
-    pair = F.arrays_zip(F.transform("scores", lambda x: -x).alias("away"), F.col("ids").alias("id"))
-    merged = parts.groupBy("query_id").agg(F.flatten(F.collect_list(pair)).alias("found"))
-    ranked = merged.select("query_id", F.posexplode(F.slice(F.array_sort(F.array_distinct("found")), 1, k)).alias("at", "hit"))
-    return ranked.select("query_id", (F.col("at") + 1).alias("rank"), F.col("hit.id").alias("vec_id"), (-F.col("hit.away")).alias("score"))
+    merged = parts.groupBy("query_id").agg(F.collect_list(F.struct("ids", "scores")).alias("found"))
+    merged = merged.select("query_id", F.flatten("found.ids").alias("ids"), F.flatten("found.scores").alias("scores"))
+
+    def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, scores = batch.column("ids"), batch.column("scores")
+            bounds = (ids.offsets.to_numpy() - ids.offsets[0].as_py()).tolist()
+            i, s = ids.flatten().to_numpy(), scores.flatten().to_numpy()
+            best = [best_of(i[a:b], s[a:b], k) for a, b in zip(bounds, bounds[1:], strict=False)]
+            if best:
+                sizes = [len(x) for x, _ in best]
+                at = pa.array(np.repeat(np.arange(len(best)), sizes))
+                ranks = np.concatenate([np.arange(1, n + 1, dtype=np.int32) for n in sizes])
+                yield pa.RecordBatch.from_arrays([batch.column("query_id").take(at), pa.array(ranks), *(pa.array(np.concatenate(c)) for c in zip(*best, strict=True))], ["query_id", "rank", "vec_id", "score"])
+
+    return merged.mapInArrow(rank, schema)
