@@ -1,0 +1,150 @@
+"""Near-duplicates by the Jaccard similarity of their word shingles.
+
+MinHash bands propose pairs of texts, and the exact similarity of the shingle sets
+decides. With 32 bands of 4 rows a pair of similarity s shares a band with
+probability 1 - (1 - s^4)^32: for s = 0.8 all but one pair in twenty million.
+
+Texts that share a band are first compared to one text of the band, which differs
+from band to band, and then, if that left several components in a band, across these components.
+So no pair is left out whose link could join two components. A group whose m texts
+are all similar needs a multiple of m comparisons; one whose texts share bands and
+are not similar still needs up to m²/2.
+
+Equal texts are one node. Null texts are empty; texts without words are equal to each
+other; texts with fewer words than a shingle are one shingle.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from quern.llm.common import LOWER, by_bytes, materialize, small, text_or_empty
+from quern.llm.graph import components
+from quern.llm.simhash import SHINGLES_AT_ONCE, P1, shingles_of, text_hash, xxh64_many
+
+SHINGLE = 5
+#: Least similarity of a pair, as a fraction.
+SIMILAR = (4, 5)
+BANDS, ROWS = 32, 4
+SEED = 42
+#: Orders in which a band's text to compare with is the first.
+ORDERS = 4
+#: Pairs of one text that a task compares.
+PAIRS_AT_ONCE = 1_000
+
+
+def signatures(texts: list[bytes], shingle: int = SHINGLE, seed: int = SEED) -> np.ndarray:
+    """A key for each lower-cased text and band, from the least hashes of its shingles."""
+    data, at, size, doc, _ = shingles_of(texts, shingle)
+    least = np.full((BANDS * ROWS, len(texts)), np.iinfo(np.uint64).max)
+    factors, terms = np.random.default_rng(seed).integers(0, 1 << 64, (2, BANDS * ROWS), dtype=np.uint64)
+    for a in range(0, len(doc), SHINGLES_AT_ONCE):
+        part = slice(a, a + SHINGLES_AT_ONCE)
+        h = xxh64_many(data, at[part], size[part], seed)
+        docs, begin = np.unique(doc[part], return_index=True)
+        for k in range(BANDS * ROWS):
+            found = np.minimum.reduceat(h * (factors[k] | np.uint64(1)) + terms[k], begin)
+            least[k, docs] = np.minimum(least[k, docs], found)
+    keys = np.repeat(np.arange(BANDS, dtype=np.uint64)[:, None], len(texts), axis=1)
+    for r in range(ROWS):
+        keys = (keys ^ least[r::ROWS]) * P1
+        keys ^= keys >> np.uint64(29)
+    return keys.T
+
+
+def shingle_set(text: str, shingle: int = SHINGLE) -> set[bytes]:
+    words = text.encode().translate(LOWER).split()
+    return {b" ".join(words[i : i + shingle]) for i in range(max(min(len(words), 1), len(words) - shingle + 1))}
+
+
+def similar(a: set[bytes], b: set[bytes]) -> bool:
+    """Whether the Jaccard similarity is at least SIMILAR, in whole numbers."""
+    both = len(a & b)
+    return both * SIMILAR[1] >= SIMILAR[0] * (len(a) + len(b) - both)
+
+
+def with_keys(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, node, keys): the bands' keys of each row's text."""
+    kind = docs.schema[doc_id].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in by_bytes(batches, "text"):
+            keys = signatures([t.encode().translate(LOWER) for t in texts])
+            bounds = pa.array(np.arange(len(texts) + 1, dtype=np.int32) * BANDS)
+            keys = pa.ListArray.from_arrays(bounds, pa.array(np.ascontiguousarray(keys).view(np.int64).ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("node"), keys], ["doc_id", "node", "keys"])
+
+    rows = docs.select(F.col(doc_id).alias("doc_id"), text_or_empty(F.col(text)).alias("text"), text_hash(F.col(text)).alias("node"))
+    return rows.mapInArrow(run, f"doc_id {kind}, node long, keys array<long>")
+
+
+def _with_text(pairs: DataFrame, texts: DataFrame, side: str, other: str) -> DataFrame:
+    """The pairs with the text of one side; what pairs often is copied so that its pairs lie in several tasks."""
+    parts = pairs.groupBy(side).agg(F.ceil(F.count(F.lit(1)) / PAIRS_AT_ONCE).cast("int").alias("parts"))
+    parts = materialize(parts, "minhash-parts")
+    copies = texts.join(small(parts), texts["node"] == parts[side]).select(side, F.col("text").alias(f"text_{side}"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    dealt = pairs.join(small(parts.where("parts > 1")), side, "left")
+    dealt = dealt.withColumn("part", F.pmod(F.xxhash64(other), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
+    return dealt.join(copies, [side, "part"]).drop("part")
+
+
+def verified(pairs: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
+    """Of pairs (a, b), distinct, those whose texts are similar."""
+    nodes = materialize(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "minhash-nodes")
+    texts = docs.select(text_hash(F.col(text)).alias("node"), text_or_empty(F.col(text)).alias("text")).join(small(nodes), "node", "left_semi")
+    texts = materialize(texts.groupBy("node").agg(F.first("text").alias("text")), "minhash-texts")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, left in by_bytes(iter([batch]), "text_a"):
+                stays, last, a = [], None, set()
+                for k, x in enumerate(left):
+                    if x != last:
+                        last, a = x, shingle_set(x)
+                    stays.append(similar(a, shingle_set(part.column("text_b")[k].as_py())))
+                yield part.select(["a", "b"]).filter(pa.array(stays, pa.bool_()))
+
+    both = _with_text(_with_text(pairs, texts, "b", "a"), texts, "a", "b")
+    return materialize(both.select("a", "b", "text_a", "text_b").sortWithinPartitions("a").mapInArrow(run, "a long, b long"), "minhash-links")
+
+
+def _pair(x: Column, y: Column) -> list[Column]:
+    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
+
+
+def links(nodes: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
+    """nodes (node, keys), distinct -> (a, b): similar pairs, enough to join all that similar pairs join."""
+    bands = nodes.select("node", F.explode("keys").alias("key"))
+    turn = F.shiftleft(F.pmod("key", F.lit(ORDERS)), 62)
+    shared = bands.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.col("node").bitwiseXOR(turn)).alias("least"))
+    shared = materialize(shared.where("n > 1").select("key", F.col("least").bitwiseXOR(turn).alias("chief")), "minhash-shared")
+    members = materialize(bands.join(small(shared), "key"), "minhash-members")
+    first = materialize(members.where("node <> chief").select(*_pair(F.col("node"), F.col("chief"))).distinct(), "minhash-pairs")
+    found = verified(first, docs, text)
+    roots = small(materialize(components(found), "minhash-roots"))
+    members = members.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    parts = materialize(members.select("key", "root").distinct(), "minhash-parts")
+    mixed = parts.alias("x").join(parts.alias("y"), F.expr("x.key = y.key and x.root < y.root")).select("x.key", F.col("x.root").alias("rx"), F.col("y.root").alias("ry"))
+    x = members.select("key", F.col("root").alias("rx"), F.col("node").alias("x"))
+    y = members.select("key", F.col("root").alias("ry"), F.col("node").alias("y"))
+    rest = mixed.join(x, ["key", "rx"]).join(y, ["key", "ry"]).select(*_pair(F.col("x"), F.col("y"))).distinct()
+    rest = materialize(rest.join(first, ["a", "b"], "left_anti"), "minhash-rest")
+    return found.union(verified(rest, docs, text))
+
+
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, text_hash, first): ``first`` is the row (id, text_hash) of its component with the smallest id, null last."""
+    row = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.col("node").alias("text_hash"))
+    nodes = materialize(with_keys(docs, doc_id, text).groupBy("node").agg(F.min(row).alias("head"), F.first("keys").alias("keys")), "minhash")
+    roots = components(links(nodes.select("node", "keys"), docs, text))
+    roots = small(materialize(roots.union(roots.select("root", "root")).distinct(), "minhash-roots"))
+    heads = nodes.select("node", "head")
+    least = heads.join(roots, "node").groupBy("root").agg(F.min("head").alias("least"))
+    named = heads.join(roots, "node", "left").join(small(materialize(least, "minhash-least")), "root", "left")
+    named = materialize(named.select(F.col("node").alias("text_hash"), F.coalesce("least", "head").alias("first")), "minhash-names")
+    return docs.select(F.col(doc_id).alias("doc_id"), text_hash(F.col(text)).alias("text_hash")).join(named, "text_hash").select("doc_id", "text_hash", "first")

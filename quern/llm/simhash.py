@@ -114,15 +114,20 @@ def word_spans(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     return data, starts, ends, np.concatenate([[0], words_up_to])
 
 
-def fingerprints(texts: list[bytes], shingle: int = SHINGLE, seed: int = SEED) -> np.ndarray:
-    """SimHash of each lower-cased text over its word shingles, repeats included."""
+def shingles_of(texts: list[bytes], shingle: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes of all texts, the shingles' starts, lengths and texts there, and each text's number of shingles."""
     data, starts, ends, bounds = word_spans(texts)
     n_words = np.diff(bounds)
     n = np.where(n_words >= shingle, n_words - shingle + 1, np.minimum(n_words, 1))
     doc = np.repeat(np.arange(len(texts)), n)
     first = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n) + bounds[:-1][doc]
     last = np.minimum(first + shingle, bounds[1:][doc]) - 1
-    at, size = starts[first], ends[last] - starts[first]
+    return data, starts[first], ends[last] - starts[first], doc, n
+
+
+def fingerprints(texts: list[bytes], shingle: int = SHINGLE, seed: int = SEED) -> np.ndarray:
+    """SimHash of each lower-cased text over its word shingles, repeats included."""
+    data, at, size, doc, n = shingles_of(texts, shingle)
     counts = np.zeros((len(texts), 64), dtype=np.int64)
     for a in range(0, len(doc), SHINGLES_AT_ONCE):
         part = slice(a, a + SHINGLES_AT_ONCE)
@@ -208,12 +213,13 @@ def fingerprint_hex(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+def keep_one(docs: DataFrame, radius: int = RADIUS, found: DataFrame | None = None) -> DataFrame:
     """The documents without near copies: of each component its first row stays, once.
 
-    What goes is found by id and text, so other rows that share an id stay.
+    What goes is found by id and text, so other rows that share an id stay. ``found``
+    (doc_id, text_hash, first) has components that were found in another way.
     """
-    found = materialize(near_duplicates(docs, radius), "simhash-found")
+    found = materialize(near_duplicates(docs, radius) if found is None else found, "simhash-found")
     stays = F.expr("doc_id <=> first.id and text_hash = first.text_hash")
     gone = small(materialize(found.where(~stays).select("doc_id", "text_hash").distinct(), "simhash-gone"))
     twice = found.where(stays).groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1")

@@ -1,0 +1,76 @@
+import random
+
+import corpus_pipeline
+
+from quern.llm import minhash
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def edited(words, seed, n):
+    out, r = list(words), random.Random(seed)
+    for at in r.sample(range(len(out)), n):
+        out[at] = f"edit{seed}x{at}"
+    return out
+
+
+def jaccard(a, b):
+    x, y = ({tuple(t.lower().split()[i : i + 5]) for i in range(max(1, len(t.split()) - 4))} for t in (a, b))
+    return len(x & y) / len(x | y)
+
+
+def make():
+    """Texts with copies that differ in some words, on both sides of the least similarity."""
+    r = random.Random(1)
+    out = []
+    for k in range(60):
+        words = [f"w{r.randrange(3000)}" for _ in range(300)]
+        out += [(10 * k + j, " ".join(edited(words, 100 * k + j, (0, 2, 5, 7, 12)[j])), "en", "s", 1) for j in range(5)]
+    return out
+
+
+def brute(rows):
+    """The ids of components of pairs with a similarity of 0.8 or more."""
+    parent = {i: i for i, *_ in rows}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for n, (i, a, *_) in enumerate(rows):
+        for j, b, *_ in rows[:n]:
+            if i // 10 == j // 10 and jaccard(a, b) >= 0.8:
+                x, y = sorted((find(i), find(j)))
+                parent[y] = x
+    return {i: find(i) for i in parent}
+
+
+def test_pairs_of_the_least_similarity_are_found(spark):
+    rows = make()
+    want = brute(rows)
+    df = spark.createDataFrame(rows, SCHEMA).repartition(5)
+    got = {r["doc_id"]: r["first"]["id"] for r in minhash.near_duplicates(df).collect()}
+    assert got == want and 60 < len(set(want.values())) < 240
+    kept = {r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, df, "").collect()}
+    assert kept == set(want.values())
+
+
+def test_chains_are_whole_when_a_text_meets_many(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "PAIRS_AT_ONCE", 3)
+    r = random.Random(2)
+    words = [f"w{r.randrange(3000)}" for _ in range(300)]
+    rows = []
+    for k in range(24):  # each differs a little from the one before, and much from the first
+        rows.append((k, " ".join(words), "en", "s", 1))
+        words = edited(words, k, 3)
+    got = minhash.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert {x["first"]["id"] for x in got} == {0} and jaccard(rows[0][1], rows[-1][1]) < 0.5
+
+
+def test_short_and_empty_texts(spark):
+    texts = [None, "", " \n", "one two", "One  TWO", "one three", "one two three four five", "one two three four six"]
+    rows = [(k, t, "en", "s", 1) for k, t in enumerate(texts)]
+    got = {r["doc_id"]: r["first"]["id"] for r in minhash.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {0: 0, 1: 0, 2: 0, 3: 3, 4: 3, 5: 5, 6: 6, 7: 7}
+    assert minhash.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
