@@ -1,8 +1,8 @@
 """License scans with a positional index of rare template words.
 
 Document frequencies of all template words are counted over all documents. Each
-template is indexed by its rarest words and their positions. A file looks up the
-rarest of those words that it holds; postings that agree on where the template would
+template is indexed by its rarest words and their positions. A file looks up all
+of those words that it holds; postings that agree on where the template would
 start are one candidate, which stands if the words around support enough of the
 template's IDF and each of its key phrases is there word by word.
 
@@ -58,8 +58,8 @@ TEMPLATES = (
     Template("unlicense", "this is free and unencumbered software released into the public domain", ("public domain",)),
 )
 
-#: Rarest words by which a template is found, rare words of a file that are looked up, how far words may be shifted, and the support that a candidate needs.
-RARE_WORDS, LOOKED_UP, SHIFT, SUPPORT = 3, 12, 2, 0.6
+#: Rarest words by which a template is found, how far words may be shifted, and the support that a candidate needs.
+RARE_WORDS, SHIFT, SUPPORT = 3, 2, 0.6
 
 
 def normal(text: str) -> bytes:
@@ -109,7 +109,7 @@ class Index:
 
     def scan(self, data: bytes, words: list[bytes]) -> tuple[set[str], float]:
         """Labels of the templates found, and the best support among them."""
-        present = sorted(self.rare.intersection(words), key=lambda w: (-self.idf[w], w))[:LOOKED_UP]
+        present = sorted(self.rare.intersection(words), key=lambda w: (-self.idf[w], w))
         if not present:
             return set(), 0.0
         blanks = np.flatnonzero(np.frombuffer(data, dtype=np.uint8) == 32)

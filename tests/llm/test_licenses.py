@@ -39,6 +39,12 @@ def test_templates_are_found_and_need_their_phrases():
     assert "gpl" not in scan("the public license of the general")[0]
 
 
+def test_a_file_with_every_notice_has_every_label():
+    index = licenses.Index(1000, {"the": 900, "license": 20, "under": 700})
+    d = licenses.normal("\n\n".join(f"Notice {k}. {t.text}." for k, t in enumerate(licenses.TEMPLATES)))
+    assert index.scan(d, d.split())[0] == {t.label for t in licenses.TEMPLATES}
+
+
 def test_frequencies_cover_all_rows(docs, rows):
     n, df = licenses.document_frequencies(docs)
     assert n == len(rows) and df["of"] == sum("of" in (t or "").translate(UPPER).replace(".", " ").split() for _, t, *_ in rows)
