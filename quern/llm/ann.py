@@ -252,11 +252,14 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = NEAREST, vec_id: str
             return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "ids": pd.Series(dtype=object), "scores": pd.Series(dtype=object)})
         x, ids = matrix(v["vector"].tolist()), v["vec_id"].to_numpy()
         s = matrix(q["vector"].tolist()) @ x.T
+        order = np.argsort(ids, kind="stable")
+        alone, first = np.unique(ids[order], return_index=True)
+        if len(alone) < len(ids):  # a repeated id counts once, by its best row
+            ids, s = alone, np.maximum.reduceat(s[:, order], first, axis=1)
         out = []
         for query, row in zip(q["query_id"].to_numpy(), s, strict=True):
             row = np.where(ids == query, -np.inf, row)
-            n = 4 * k  # repeated ids may take several places
-            some = np.flatnonzero(row >= np.partition(row, len(row) - n)[len(row) - n]) if len(row) > n else np.arange(len(row))
+            some = np.flatnonzero(row >= np.partition(row, len(row) - k)[len(row) - k]) if len(row) > k else np.arange(len(row))
             found, scores = best_of(ids[some], row[some], k)
             real = scores > -np.inf
             out.append((query, found[real].tolist(), scores[real].tolist()))

@@ -70,6 +70,12 @@ def test_repeated_ids(spark):
     assert [(r["rank"], r["vec_id"]) for r in got] == [(1, 2)]
 
 
+def test_an_id_with_many_rows_leaves_room_for_others(spark):
+    items = [(0, [1.0, 0.0])] + [(1, [2.0, 0.0])] * 100 + [(i, [1.0, 0.01 * i]) for i in range(2, 40)]
+    got = ann.nearest(frame(spark, items), F.col("vec_id") == 0).collect()
+    assert [r["vec_id"] for r in sorted(got, key=lambda r: r["rank"])] == list(range(1, 21))
+
+
 def test_empty(spark):
     assert ann.nearest(frame(spark, []), F.col("vec_id") == 0).count() == 0
     assert ann.nearest(frame(spark, [(0, [1.0])]), F.col("vec_id") == 0).count() == 0
