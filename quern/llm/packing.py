@@ -13,6 +13,7 @@ text columns are read, so other columns don't matter.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -28,46 +29,69 @@ from quern.llm.common import by_bytes, keep, materialize, small, text_or_empty
 
 LENGTH = 1024
 END = 0
-#: Words that a worker keeps with their ids, from one task to the next; when full, only those of at most SHORT letters stay.
-CACHE_WORDS, SHORT = 500_000, 7
+#: The splitting rule of byte-level vocabularies (fixed value).
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: A run of white space that the fast splitter's stack may not hold; such texts go to the tokenizer itself.
+LONG_RUN = re.compile(r"\s{512}")
 
-#: The vocabulary's own splitting rule, for texts whose letters are all in these ranges (other texts go to the tokenizer whole).
-LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
-SPLIT = re.compile(rf"'(?:s|t|re|ve|m|ll|d)| ?[{LETTERS}]+| ?[0-9]+| ?[^\s{LETTERS}0-9]+|\s+(?!\S)|\s+", re.ASCII)
-UNUSUAL = re.compile(r"[^\x00-\x7fÀ-ÖØ-öø-ɏ]")
+
+def byte_ranks(model: dict) -> dict[bytes, int] | None:
+    """Ids of a byte-level vocabulary by the bytes of its entries, if they rank the merges; else None."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    of = {chr(b): b for b in plain} | {chr(0x100 + k): b for k, b in enumerate(b for b in range(256) if b not in plain)}
+    merged = ["".join(m) if isinstance(m, list) else m.replace(" ", "") for m in model["merges"]]
+    ids = model["vocab"]
+    singles = sorted(i for x, i in ids.items() if len(x) == 1 and x in of)
+    order = [ids.get(m, -1) for m in merged]
+    if len(singles) != 256 or singles[-1] > min(order, default=0) or order != sorted(set(order)) or len(ids) < 256 + len(order):
+        return None
+    return {bytes(of[c] for c in x): i for x, i in ids.items() if (len(x) == 1 or i >= order[0]) and of.keys() >= set(x)}
 
 
 class WordTokens:
-    """Ids of texts, as little-endian bytes of ``dtype``; words are looked up once."""
+    """Ids of texts, as little-endian bytes of ``dtype``: those of the tokenizer as its file describes it.
+
+    Byte-level vocabularies whose ids rank their merges are also loaded into tiktoken,
+    which finds the same ids sooner. Texts that hold an added token (such as an
+    end-of-text string) or a very long run of white space go to the tokenizer itself.
+    """
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.words: dict[str, bytes] = {}
-
-    def encode_all(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(x.ids, dtype=self.dtype).tobytes() for x in found]
+        with open(path, encoding="utf-8") as f:
+            described = json.load(f)
+        self.fast = self._fast(described)
+        added = [re.escape(x["content"]) for x in described.get("added_tokens") or []]
+        self.added = re.compile("|".join(added)) if added else None
+
+    @staticmethod
+    def _fast(x: dict):
+        model, before = x["model"], x.get("pre_tokenizer") or {}
+        plain = model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+        whole = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space", True) and not x.get("normalizer")
+        simple = not any(t.get(k) for t in x.get("added_tokens") or [] for k in ("single_word", "lstrip", "rstrip", "normalized"))
+        ranks = byte_ranks(model) if plain and whole and simple else None
+        if ranks is None:
+            return None
+        import tiktoken
+
+        return tiktoken.Encoding("file", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
+
+    def encode(self, text: str) -> bytes:
+        if self.fast is None or self.added and self.added.search(text) or LONG_RUN.search(text):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
+        return self.fast.encode_to_numpy(text, disallowed_special=()).astype(self.dtype).tobytes()
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        words = [None if UNUSUAL.search(t) else SPLIT.findall(t) for t in texts]
-        new = list({w for ws in words if ws for w in ws}.difference(self.words))
-        if len(self.words) + len(new) > CACHE_WORDS:
-            self.words = {w: ids for w, ids in self.words.items() if len(w) <= SHORT}
-            if len(self.words) + len(new) > CACHE_WORDS // 2:
-                self.words = {}
-            new = list({w for ws in words if ws for w in ws}.difference(self.words))
-        self.words.update(zip(new, self.encode_all(new), strict=True))
-        get = self.words.__getitem__
-        return [b"".join(map(get, ws)) if ws is not None else self.encode_all([t])[0] for t, ws in zip(texts, words, strict=True)]
+        return [self.encode(t) for t in texts]
 
 
 def word_tokens(path: str) -> WordTokens:
-    """The worker's own, so its words outlast a task."""
+    """The worker's own, so it is loaded once."""
     return keep(("tokens", path), lambda: WordTokens(path))
 
 

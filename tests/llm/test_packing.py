@@ -13,26 +13,50 @@ from quern.llm.queries import tokenizer_path
 def tokenizer():
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(tokenizer_path())
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(tokenizer_path())
 
 
 @pytest.fixture(scope="module")
 def words():
-    return packing.WordTokens(tokenizer_path())
+    found = packing.WordTokens(tokenizer_path())
+    assert found.fast is not None
+    return found
 
 
-@given(st.text(alphabet=st.sampled_from("abcDE 's'\n\t\x0b 1.2,é ü猫ßA̐²½_-'"), max_size=60))
+def same(tokenizer, words, text):
+    return np.frombuffer(words([text])[0], words.dtype).tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+
+
+@given(st.text(alphabet=st.sampled_from("abcDE 's'\n\t\x0b 1.2,é ü猫ßA̐²½_-'\x00\ufffd🙂ǅⅣ\u2028\u3000"), max_size=60))
+@settings(max_examples=300, deadline=None)
+def test_ids_are_the_tokenizer_s(tokenizer, words, text):
+    assert same(tokenizer, words, text)
+
+
+@given(st.text(max_size=80))
 @settings(max_examples=300, deadline=None)
-def test_words_are_the_tokenizer_s(tokenizer, words, text):
-    assert np.frombuffer(words([text])[0], words.dtype).tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+def test_ids_of_any_letters(tokenizer, words, text):
+    assert same(tokenizer, words, text)
+
 
+@pytest.mark.parametrize(
+    "text",
+    ["", "a<|endoftext|>b", "<|endoftext|>", " <|endoftext|> <|endoftext|>x", "<|endoftext", " " * 300_000, "\n" * 300_000 + "x", "x" + " " * 511 + "y", "a" * 200_000, "^" * 100_000, "é" * 100_000, "猫" * 50_000],
+)
+def test_special_strings_and_long_runs(tokenizer, words, text):
+    assert same(tokenizer, words, text)
+
+
+def test_special_string_is_one_id(words):
+    assert np.frombuffer(words(["a<|endoftext|>b"])[0], words.dtype).tolist() == [64, 50256, 65]
+
+
+def test_other_vocabularies_go_to_their_tokenizer():
+    from tokenizers import Tokenizer
 
-def test_special_strings_and_a_full_cache(tokenizer, words, monkeypatch):
-    monkeypatch.setattr(packing, "CACHE_WORDS", 5)
-    for text in ("a <|endoftext|> b", "one two three four five six seven", ""):
-        assert np.frombuffer(words([text])[0], words.dtype).tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+    path = tokenizer_path("word_bpe_49k.json")
+    words = packing.WordTokens(path)
+    assert words.fast is None and same(Tokenizer.from_file(path), words, "Ein Haus, two houses <|endoftext|>!")
 
 
 @pytest.mark.parametrize("length", [16, 1024])
