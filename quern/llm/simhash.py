@@ -1,13 +1,22 @@
 """SimHash near-duplicates, searched with pigeonring filtering.
 
 Fingerprints are computed over whole texts with numpy. For the search, a
-fingerprint is a ring of five segments. If two differ in at most t bits, then from
+64-bit fingerprint is a ring of five segments. If two differ in at most t bits, then from
 some segment on, every chain of l consecutive segments differs in at most
 floor(l * t / 5) bits. For t = 4 that is 0, 1, 2, 3, 4: the first segment is equal
 and the second differs in one bit at most, so these two make the join key; longer
 chains and the full distance are checked on what the join finds. All links are
 found this way, and only equal fingerprints, which are one node, are never paired.
 
+``similar_texts`` asks for a similarity instead of a few bits, so budgets are several
+bits a segment and no list of probes is complete and affordable. It takes wide
+fingerprints, whose bits several shuffled rings cut into segments; a pair that shares
+a segment is checked by chains of whole words and the full distance, inside the join.
+Segments get longer, and rings more, with the logarithm and a small power of the
+number of texts, so that a pair at the wanted similarity is found with probability
+``FOUND`` at every size, and nearly surely above it. Texts of a segment first meet one
+of them, then only texts of other components, so a group yields no square of links.
+
 Texts that are null or without words have fingerprint zero and link like others.
 Null ids are ignored when a component is named, unless it has no others; repeated
 ids and rows each keep a row. An empty table gives no rows.
@@ -16,7 +25,9 @@ ids and rows each keep a row. An empty table gives no rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
+from math import acos, ceil, comb, log, log1p, log2, pi, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -125,34 +136,57 @@ def shingles_of(texts: list[bytes], shingle: int) -> tuple[np.ndarray, np.ndarra
     return data, starts[first], ends[last] - starts[first], doc, n
 
 
-def fingerprints(texts: list[bytes], shingle: int = SHINGLE, seed: int = SEED) -> np.ndarray:
-    """SimHash of each lower-cased text over its word shingles, repeats included."""
+#: For each byte, its bits as eight counters of one byte, highest bit first.
+LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).view(np.uint64)[:, 0]
+
+
+def _remixed(h: np.ndarray, k: int) -> np.ndarray:
+    """The k-th further hash of hashes (k = 0: themselves)."""
+    if k == 0:
+        return h
+    x = h + np.uint64(k * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
+    x = (x ^ (x >> np.uint64(30))) * P1
+    x = (x ^ (x >> np.uint64(27))) * P2
+    return x ^ (x >> np.uint64(31))
+
+
+def fingerprints(texts: list[bytes], shingle: int = SHINGLE, seed: int = SEED, words: int = 1) -> np.ndarray:
+    """SimHash of each lower-cased text over its word shingles, repeats included: (texts, 64-bit words)."""
     data, at, size, doc, n = shingles_of(texts, shingle)
-    counts = np.zeros((len(texts), 64), dtype=np.int64)
+    counts = np.zeros((len(texts), words * 8, 8), dtype=np.int64)
     for a in range(0, len(doc), SHINGLES_AT_ONCE):
         part = slice(a, a + SHINGLES_AT_ONCE)
         h = xxh64_many(data, at[part], size[part], seed)
-        bits = np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
         docs, begin = np.unique(doc[part], return_index=True)
-        counts[docs] += np.add.reduceat(bits, begin, axis=0, dtype=np.int64)
-    return np.packbits(counts * 2 > n[:, None], axis=1).view(">u8")[:, 0].astype(np.uint64)
+        runs = -(-np.diff(np.append(begin, len(h))) // 255)  # a counter of one byte holds 255 shingles
+        first = np.cumsum(runs) - runs
+        starts = np.repeat(begin, runs) + 255 * (np.arange(runs.sum()) - np.repeat(first, runs))
+        for k in range(words):
+            by_byte = _remixed(h, k).astype(">u8").view(np.uint8).reshape(-1, 8)
+            for j in range(8):
+                lanes = np.add.reduceat(LANES[by_byte[:, j]], starts).view(np.uint8).reshape(-1, 8)
+                counts[docs, k * 8 + j] += np.add.reduceat(lanes, first, axis=0, dtype=np.int64)
+    bits = counts.reshape(len(texts), words * 64) * 2 > n[:, None]
+    return np.packbits(bits, axis=1).view(">u8").astype(np.uint64)
 
 
 def text_hash(text: Column) -> Column:
     return F.xxhash64(text_or_empty(text))
 
 
-def with_fingerprint(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, text_hash, fp): the fingerprint as a signed long."""
+def with_fingerprint(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, words: int = 1) -> DataFrame:
+    """(doc_id, text_hash, fp), or fp0, fp1, ... of more words: the fingerprint as signed longs."""
     kind = docs.schema[doc_id].dataType.simpleString()
+    names = ["fp"] if words == 1 else [f"fp{k}" for k in range(words)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in by_bytes(batches, "text"):
-            fp = fingerprints([t.encode().translate(LOWER) for t in texts])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(fp.view(np.int64))], ["doc_id", "text_hash", "fp"])
+            fp = fingerprints([t.encode().translate(LOWER) for t in texts], shingle, words=words).view(np.int64)
+            columns = [pa.array(np.ascontiguousarray(fp[:, k])) for k in range(words)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), *columns], ["doc_id", "text_hash", *names])
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), text_or_empty(F.col(text)).alias("text"), text_hash(F.col(text)).alias("text_hash"))
-    return rows.mapInArrow(run, f"doc_id {kind}, text_hash long, fp long")
+    return rows.mapInArrow(run, f"doc_id {kind}, text_hash long, " + ", ".join(f"{x} long" for x in names))
 
 
 def _offsets(segments: tuple[int, ...]) -> list[int]:
@@ -196,30 +230,130 @@ def links(nodes: DataFrame, radius: int = RADIUS, segments: tuple[int, ...] = SE
     return found.where(chain).select("a", "b").distinct()
 
 
+def _named(fps: DataFrame, node: list[str], heads: DataFrame, edges: DataFrame) -> DataFrame:
+    """The rows of ``fps`` with ``first``, the least head of the component of their node."""
+    roots = components(edges).withColumnRenamed("node", "id")
+    roots = small(materialize(roots.union(roots.select("root", "root")).distinct(), "simhash-roots"))
+    linked = heads.join(roots, "id").groupBy("root").agg(F.min("head").alias("least"))
+    named = heads.join(roots, "id", "left").join(small(materialize(linked, "simhash-least")), "root", "left")
+    named = materialize(named.select(*node, F.coalesce("least", "head").alias("first")), "simhash-names")
+    return fps.join(named, node)
+
+
+def _heads(fps: DataFrame, node: list[str]) -> DataFrame:
+    """Each node's least row by id, null last, and then by text."""
+    row = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), "text_hash")
+    return fps.groupBy(*node).agg(F.min(row).alias("head"))
+
+
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(doc_id, text_hash, fp, first): ``first`` is the row (id, text_hash) of its component with the smallest id, null last."""
     fps = materialize(with_fingerprint(docs), "simhash")
-    row = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), "text_hash")
-    heads = materialize(fps.groupBy("fp").agg(F.min(row).alias("head")), "simhash-heads")
-    roots = components(links(heads.select("fp"), radius)).withColumnRenamed("node", "fp")
-    roots = small(materialize(roots.union(roots.select("root", "root")).distinct(), "simhash-roots"))
-    linked = heads.join(roots, "fp").groupBy("root").agg(F.min("head").alias("least"))
-    named = heads.join(roots, "fp", "left").join(small(materialize(linked, "simhash-least")), "root", "left")
-    named = materialize(named.select("fp", F.coalesce("least", "head").alias("first")), "simhash-names")
-    return fps.join(named, "fp").select("doc_id", "text_hash", "fp", "first")
+    heads = materialize(_heads(fps, ["fp"]).withColumn("id", F.col("fp")), "simhash-heads")
+    return _named(fps, ["fp"], heads, links(heads.select("fp"), radius)).select("doc_id", "text_hash", "fp", "first")
+
+
+#: The similarity (Jaccard, of shingles) of near copies, and their shingles; 64-bit words of a wide fingerprint.
+SIMILAR, WIDE_SHINGLE, WIDE = 0.8, 5, 4
+#: How surely a pair of just that similarity shares a segment, and the texts that share a segment with a text by chance.
+FOUND, CHANCE = 0.95, 0.25
+
+
+def differing(similarity: float) -> float:
+    """The share of bits in which fingerprints of two equally long texts differ on average."""
+    return acos(2 * similarity / (1 + similarity)) / pi
+
+
+def wide_radius(similarity: float = SIMILAR, words: int = WIDE) -> int:
+    """The bits in which texts of that similarity may differ: their mean, and one standard deviation more."""
+    share, bits = differing(similarity), 64 * words
+    return int(bits * share + sqrt(bits * share * (1 - share)))
+
+
+def segments_for(texts: int, similarity: float = SIMILAR, words: int = WIDE) -> list[np.ndarray]:
+    """The bits of each segment: rings of all bits, shuffled, and cut."""
+    width = min(40, max(12, ceil(log2(max(1, texts) / CHANCE))))
+    bits, flips = 64 * words, round(64 * words * differing(similarity))
+    number = ceil(log(1 - FOUND) / log1p(-comb(bits - flips, width) / comb(bits, width)))
+    found: list[np.ndarray] = []
+    for ring in range(number):
+        order = np.random.default_rng(SEED + ring).permutation(bits)
+        found += [order[k : k + width] for k in range(0, bits - width + 1, width)]
+        if len(found) >= number:
+            break
+    return found[:number]
+
+
+def with_keys(nodes: DataFrame, segments: list[np.ndarray], fp: list[str]) -> DataFrame:
+    """nodes (id, fp0, ...) -> and ``key``: a row for each segment."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, len(batch), 2048):
+                part = batch.slice(a, 2048)
+                raw = np.stack([part.column(x).to_numpy() for x in fp], axis=1)
+                bits = np.unpackbits(np.ascontiguousarray(raw.astype(">i8")).view(np.uint8), axis=1).astype(np.int64)
+                keys = np.empty((len(part), len(segments)), dtype=np.int64)
+                for k, s in enumerate(segments):
+                    keys[:, k] = (bits[:, s] << np.arange(len(s))).sum(axis=1) * len(segments) + k
+                ends = pa.array(np.arange(len(part) + 1, dtype=np.int32) * len(segments))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(ends, pa.array(keys.ravel()))], [*part.schema.names, "keys"])
+
+    rows = nodes.mapInArrow(run, f"id long, {', '.join(f'{x} long' for x in fp)}, keys array<long>")
+    return rows.select("id", *fp, F.explode("keys").alias("key"))
+
+
+def within(a: list[Column], b: list[Column], radius: int) -> Column:
+    """At most ``radius`` bits differ.
+
+    Some word begins a chain along the ring of words whose differences stay within their
+    share of the radius; pairs without such a word, nearly all, aren't looked at further.
+    """
+    words = [F.bit_count(x.bitwiseXOR(y)) for x, y in zip(a, b, strict=True)]
+    begins = reduce(lambda x, y: x | y, (w <= radius // len(words) for w in words))
+    return begins & (reduce(lambda x, y: x + y, words) <= radius)
+
+
+def similar_links(nodes: DataFrame, similarity: float = SIMILAR, words: int = WIDE) -> DataFrame:
+    """nodes (id, fp0, ...), distinct -> (a, b): pairs within the radius that share a segment, enough to join all that such pairs join."""
+    fp, radius = [f"fp{k}" for k in range(words)], wide_radius(similarity, words)
+    bands = with_keys(nodes.select("id", *fp), segments_for(nodes.count(), similarity, words), fp)
+    shared = bands.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("chief")).where("n > 1")
+    shared = materialize(shared.select("key", "chief"), "simhash-shared")
+    members = materialize(bands.join(small(shared), "key"), "simhash-members")
+    chiefs = nodes.select(F.col("id").alias("chief"), *(F.col(x).alias(f"c{x}") for x in fp))
+    near = within([F.col(x) for x in fp], [F.col(f"c{x}") for x in fp], radius)
+    pairs = members.where("id <> chief").join(chiefs, "chief").where(near)
+    first = materialize(pairs.select(F.col("id").alias("a"), F.col("chief").alias("b")).distinct(), "simhash-first")
+    roots = components(first).withColumnRenamed("node", "id")
+    members = members.join(small(materialize(roots, "simhash-roots")), "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"), *fp)
+    mixed = members.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
+    members = materialize(members.join(small(materialize(mixed, "simhash-mixed")), "key", "left_semi"), "simhash-members")
+    x = members.select("key", F.col("id").alias("a"), F.col("root").alias("ra"), *(F.col(f).alias(f"a{f}") for f in fp))
+    y = members.select(F.col("key").alias("bkey"), F.col("id").alias("b"), F.col("root").alias("rb"), *(F.col(f).alias(f"b{f}") for f in fp))
+    near = within([F.col(f"a{f}") for f in fp], [F.col(f"b{f}") for f in fp], radius)
+    rest = x.join(y, (F.col("key") == F.col("bkey")) & (F.col("ra") < F.col("rb")) & near)
+    return first.union(rest.select("a", "b"))
+
+
+def similar_texts(docs: DataFrame, similarity: float = SIMILAR, shingle: int = WIDE_SHINGLE, words: int = WIDE) -> DataFrame:
+    """(doc_id, text_hash, first), as :func:`near_duplicates`, for texts whose shingles have that similarity by their fingerprints."""
+    fp = [f"fp{k}" for k in range(words)]
+    fps = materialize(with_fingerprint(docs, shingle=shingle, words=words), "simhash-wide")
+    heads = materialize(_heads(fps, fp).withColumn("id", F.xxhash64(*fp)), "simhash-heads")
+    return _named(fps, fp, heads, similar_links(heads.select("id", *fp), similarity, words)).select("doc_id", "text_hash", "first")
 
 
 def fingerprint_hex(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def keep_one(docs: DataFrame, radius: int = RADIUS, found: DataFrame | None = None) -> DataFrame:
+def keep_one(docs: DataFrame, similarity: float = SIMILAR) -> DataFrame:
     """The documents without near copies: of each component its first row stays, once.
 
-    What goes is found by id and text, so other rows that share an id stay. ``found``
-    (doc_id, text_hash, first) has components that were found in another way.
+    What goes is found by id and text, so other rows that share an id stay.
     """
-    found = materialize(near_duplicates(docs, radius) if found is None else found, "simhash-found")
+    found = materialize(similar_texts(docs, similarity), "simhash-found")
     stays = F.expr("doc_id <=> first.id and text_hash = first.text_hash")
     gone = small(materialize(found.where(~stays).select("doc_id", "text_hash").distinct(), "simhash-gone"))
     twice = found.where(stays).groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1")

@@ -33,8 +33,11 @@ def test_fingerprints(rows, monkeypatch):
     monkeypatch.setattr(simhash, "SHINGLES_AT_ONCE", 700)
     texts = [(t or "")[:9000] for _, t, *_ in rows]
     got = simhash.fingerprints([t.encode().translate(LOWER) for t in texts])
-    assert got.tolist() == [plain(t) for t in texts]
-    assert simhash.fingerprints([b"", b"  "]).tolist() == [0, 0]
+    assert got[:, 0].tolist() == [plain(t) for t in texts]
+    assert simhash.fingerprints([b"", b"  "]).tolist() == [[0], [0]]
+    wide = simhash.fingerprints([t.encode().translate(LOWER) for t in texts], 5, words=3)
+    assert wide.shape == (len(texts), 3) and wide[:, 0].tolist() == [plain(t, 5) for t in texts]
+    assert len({tuple(w) for w in wide.tolist()}) == len({plain(t, 5) for t in texts})
 
 
 def test_links_are_complete(spark):
@@ -87,14 +90,73 @@ def test_near_duplicates(docs, wide, rows):
         assert component == min(ids, default=None)
 
 
+def test_few_bits_of_a_wide_fingerprint(spark):
+    r = random.Random(9)
+    pairs = []
+    for k in range(600):
+        x = r.getrandbits(256)
+        y = x
+        for b in r.sample(range(256), k % 90):
+            y ^= 1 << b
+        pairs.append((x, y, k % 90))
+    longs = lambda x: [(w - (1 << 64) if w >> 63 else w) for w in (x >> 64 * k & (1 << 64) - 1 for k in range(4))]
+    frame = spark.createDataFrame([(*longs(x), *longs(y), d) for x, y, d in pairs], ", ".join(f"c{k} long" for k in range(9)))
+    near = simhash.within([frame[f"c{k}"] for k in range(4)], [frame[f"c{k}"] for k in range(4, 8)], 44)
+    assert {r["c8"]: r["n"] for r in frame.select("c8", near.alias("n")).distinct().collect()} == {d: d <= 44 for d in range(90)}
+
+
+@pytest.mark.parametrize("texts", [1_000, 200_000, 10**9])
+def test_segments_find_what_they_promise(texts):
+    segments = simhash.segments_for(texts)
+    rng, bits = np.random.default_rng(1), round(256 * simhash.differing(0.8))
+    flips = np.argsort(rng.random((2000, 256)), axis=1)[:, :bits]
+    found = sum(any(not hit.intersection(s.tolist()) for s in segments) for hit in map(set, flips.tolist()))
+    assert found / 2000 > simhash.FOUND - 0.04
+    assert texts / 2 ** len(segments[0]) <= simhash.CHANCE
+
+
+def variants(seed, copies, changes, words=120):
+    r = random.Random(seed)
+    base = [f"w{r.randrange(5000)}" for _ in range(words)]
+    out = [" ".join(base)]
+    for _ in range(copies):
+        w = list(base)
+        for _ in range(changes):
+            w[r.randrange(len(w))] = f"x{r.randrange(5000)}"
+        out.append(" ".join(w))
+    return out
+
+
+def test_similar_texts_are_those_of_brute_force(spark):
+    texts = [t for k in range(25) for t in variants(k, k % 4, 1 + k % 2)] + variants(99, 60, 2) + [f"alone {k} " + prose(k) for k in range(20)] + ["", None, " "]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: r["first"]["id"] for r in simhash.similar_texts(docs).collect()}
+    fps = [int.from_bytes(w.astype(">u8").tobytes(), "big") for w in simhash.fingerprints([(t or "").encode().translate(LOWER) for t in texts], 5, words=4)]
+    want = {}
+    for i in range(len(texts)):
+        if i not in want:
+            todo = [i]
+            while todo:
+                x = todo.pop()
+                if x not in want:
+                    want[x] = i
+                    todo += [j for j, f in enumerate(fps) if (f ^ fps[x]).bit_count() <= simhash.wide_radius()]
+    assert got == want and len(set(want.values())) < len(texts)
+
+
+def prose(k):
+    r = random.Random(1000 + k)
+    return " ".join(f"w{r.randrange(5000)}" for _ in range(60))
+
+
 def test_one_of_each_stays(docs, wide):
-    found = simhash.near_duplicates(docs).select("first").distinct().count()
+    found = simhash.similar_texts(docs).select("first").distinct().count()
     kept = simhash.keep_one(wide)
     assert kept.columns == wide.columns and kept.count() == found
     texts = {r["text"] for r in kept.collect()}
     assert "another text with the id three" in texts and "no id at all here" in texts
 
 
-@pytest.mark.parametrize("f", [simhash.near_duplicates, simhash.keep_one])
+@pytest.mark.parametrize("f", [simhash.near_duplicates, simhash.similar_texts, simhash.keep_one])
 def test_empty(no_docs, f):
     assert f(no_docs).count() == 0
