@@ -7,6 +7,7 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Hashable, Iterator
+from contextlib import contextmanager
 from typing import Any
 
 import numpy as np
@@ -22,11 +23,13 @@ BROADCAST_ROWS = 200_000
 def shared_dir(spark: SparkSession) -> str:
     """Folder that the driver and all executors see.
 
-    It is the cluster's ``spark.checkpoint.dir``; only where that is unset (local
-    tests) a folder of our own takes its place.
+    It is the cluster's ``spark.checkpoint.dir``. Only in a local session, where that
+    may be unset, a folder of our own takes its place.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         own = tempfile.mkdtemp(prefix="quern-")
         atexit.register(shutil.rmtree, own, True)
         root = f"file://{own}"
@@ -34,13 +37,32 @@ def shared_dir(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-def materialize(df: DataFrame, name: str = "t", codec: str = "zstd") -> DataFrame:
-    """Write a frame to the shared folder and read it back, which cuts its lineage."""
+_scratch: list[list[DataFrame]] = []
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Delete, at the end, the tables that :func:`materialize` writes meanwhile, but for those that stay."""
+    _scratch.append([])
+    try:
+        yield
+    finally:
+        for table in _scratch.pop():
+            discard(table)
+
+
+def materialize(df: DataFrame, name: str = "t", codec: str = "zstd", stays: bool = False) -> DataFrame:
+    """Write a frame to the shared folder and read it back, which cuts its lineage.
+
+    A table that ``stays`` outlives the innermost :func:`scratch`, not one around that.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._quern_path = path
+    if _scratch[stays:]:
+        _scratch[-1 - stays].append(out)
     return out
 
 

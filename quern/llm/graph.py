@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import discard, materialize, small
+from quern.llm.common import discard, materialize, scratch, small
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -38,8 +38,9 @@ def components(edges: DataFrame) -> DataFrame:
         if mark == seen or not mark[0]:
             break
         seen = mark
-        big = materialize(_star(now, True).where("a <> b").distinct(), "cc")
-        discard(now)
-        now = materialize(_star(big, False).where("a <> b").distinct(), "cc")
-        discard(big)
+        for large in (True, False):
+            with scratch():
+                moved = materialize(_star(now, large).where("a <> b").distinct(), "cc", stays=True)
+            discard(now)
+            now = moved
     return now.select(F.col("a").alias("node"), F.col("b").alias("root"))

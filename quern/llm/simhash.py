@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import LOWER, by_bytes, materialize, small, text_or_empty
+from quern.llm.common import LOWER, by_bytes, materialize, scratch, small, text_or_empty
 from quern.llm.graph import components
 
 SHINGLE = 4
@@ -248,15 +248,17 @@ def _heads(fps: DataFrame, node: list[str]) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(doc_id, text_hash, fp, first): ``first`` is the row (id, text_hash) of its component with the smallest id, null last."""
-    fps = materialize(with_fingerprint(docs), "simhash")
-    heads = materialize(_heads(fps, ["fp"]).withColumn("id", F.col("fp")), "simhash-heads")
-    return _named(fps, ["fp"], heads, links(heads.select("fp"), radius)).select("doc_id", "text_hash", "fp", "first")
+    with scratch():
+        fps = materialize(with_fingerprint(docs), "simhash")
+        heads = materialize(_heads(fps, ["fp"]).withColumn("id", F.col("fp")), "simhash-heads")
+        found = _named(fps, ["fp"], heads, links(heads.select("fp"), radius))
+        return materialize(found.select("doc_id", "text_hash", "fp", "first"), "simhash-found", stays=True)
 
 
 #: The similarity (Jaccard, of shingles) of near copies, and their shingles; 64-bit words of a wide fingerprint.
 SIMILAR, WIDE_SHINGLE, WIDE = 0.8, 5, 4
 #: How surely a pair of just that similarity shares a segment, and the texts that share a segment with a text by chance.
-FOUND, CHANCE = 0.95, 0.25
+FOUND, CHANCE = 0.9, 0.25
 
 
 def differing(similarity: float) -> float:
@@ -285,7 +287,7 @@ def segments_for(texts: int, similarity: float = SIMILAR, words: int = WIDE) ->
 
 
 def with_keys(nodes: DataFrame, segments: list[np.ndarray], fp: list[str]) -> DataFrame:
-    """nodes (id, fp0, ...) -> and ``key``: a row for each segment."""
+    """nodes (id, fp0, ...) -> (id, key), a row for each segment."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -297,10 +299,9 @@ def with_keys(nodes: DataFrame, segments: list[np.ndarray], fp: list[str]) -> Da
                 for k, s in enumerate(segments):
                     keys[:, k] = (bits[:, s] << np.arange(len(s))).sum(axis=1) * len(segments) + k
                 ends = pa.array(np.arange(len(part) + 1, dtype=np.int32) * len(segments))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(ends, pa.array(keys.ravel()))], [*part.schema.names, "keys"])
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.ListArray.from_arrays(ends, pa.array(keys.ravel()))], ["id", "keys"])
 
-    rows = nodes.mapInArrow(run, f"id long, {', '.join(f'{x} long' for x in fp)}, keys array<long>")
-    return rows.select("id", *fp, F.explode("keys").alias("key"))
+    return nodes.select("id", *fp).mapInArrow(run, "id long, keys array<long>").select("id", F.explode("keys").alias("key"))
 
 
 def within(a: list[Column], b: list[Column], radius: int) -> Column:
@@ -315,23 +316,27 @@ def within(a: list[Column], b: list[Column], radius: int) -> Column:
 
 
 def similar_links(nodes: DataFrame, similarity: float = SIMILAR, words: int = WIDE) -> DataFrame:
-    """nodes (id, fp0, ...), distinct -> (a, b): pairs within the radius that share a segment, enough to join all that such pairs join."""
+    """nodes (id, fp0, ...), distinct -> (a, b): pairs within the radius that share a segment, enough to join all that such pairs join.
+
+    Two texts alone in a segment are a pair at once. Where there are more, each meets
+    the one with the smallest id, and then those that are still in other components.
+    """
     fp, radius = [f"fp{k}" for k in range(words)], wide_radius(similarity, words)
-    bands = with_keys(nodes.select("id", *fp), segments_for(nodes.count(), similarity, words), fp)
-    shared = bands.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("chief")).where("n > 1")
-    shared = materialize(shared.select("key", "chief"), "simhash-shared")
-    members = materialize(bands.join(small(shared), "key"), "simhash-members")
-    chiefs = nodes.select(F.col("id").alias("chief"), *(F.col(x).alias(f"c{x}") for x in fp))
-    near = within([F.col(x) for x in fp], [F.col(f"c{x}") for x in fp], radius)
-    pairs = members.where("id <> chief").join(chiefs, "chief").where(near)
-    first = materialize(pairs.select(F.col("id").alias("a"), F.col("chief").alias("b")).distinct(), "simhash-first")
-    roots = components(first).withColumnRenamed("node", "id")
-    members = members.join(small(materialize(roots, "simhash-roots")), "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"), *fp)
+    bands = with_keys(nodes, segments_for(nodes.count(), similarity, words), fp)
+    shared = bands.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("a"), F.max("id").alias("b"))
+    shared = materialize(shared.where("n > 1"), "simhash-shared")
+    crowded = small(shared.where("n > 2").select("key", F.col("a").alias("chief")))
+    members = materialize(bands.join(crowded, "key"), "simhash-members")
+    one, other = (nodes.select(F.col("id").alias(i), *(F.col(x).alias(i + x) for x in fp)) for i in "ab")
+    near = within([F.col("a" + x) for x in fp], [F.col("b" + x) for x in fp], radius)
+    pairs = shared.where("n = 2").select("a", "b").union(members.where("id <> chief").select(F.col("chief").alias("a"), F.col("id").alias("b"))).distinct()
+    first = materialize(pairs.join(one, "a").join(other, "b").where(near).select("a", "b"), "simhash-first")
+    roots = small(materialize(components(first).withColumnRenamed("node", "id"), "simhash-roots"))
+    members = members.join(roots, "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
     mixed = members.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
-    members = materialize(members.join(small(materialize(mixed, "simhash-mixed")), "key", "left_semi"), "simhash-members")
-    x = members.select("key", F.col("id").alias("a"), F.col("root").alias("ra"), *(F.col(f).alias(f"a{f}") for f in fp))
-    y = members.select(F.col("key").alias("bkey"), F.col("id").alias("b"), F.col("root").alias("rb"), *(F.col(f).alias(f"b{f}") for f in fp))
-    near = within([F.col(f"a{f}") for f in fp], [F.col(f"b{f}") for f in fp], radius)
+    members = materialize(members.join(small(materialize(mixed, "simhash-mixed")), "key", "left_semi"), "simhash-mixed-members")
+    x = members.select("key", F.col("id").alias("a"), F.col("root").alias("ra")).join(one, "a")
+    y = members.select(F.col("key").alias("bkey"), F.col("id").alias("b"), F.col("root").alias("rb")).join(other, "b")
     rest = x.join(y, (F.col("key") == F.col("bkey")) & (F.col("ra") < F.col("rb")) & near)
     return first.union(rest.select("a", "b"))
 
@@ -339,9 +344,11 @@ def similar_links(nodes: DataFrame, similarity: float = SIMILAR, words: int = WI
 def similar_texts(docs: DataFrame, similarity: float = SIMILAR, shingle: int = WIDE_SHINGLE, words: int = WIDE) -> DataFrame:
     """(doc_id, text_hash, first), as :func:`near_duplicates`, for texts whose shingles have that similarity by their fingerprints."""
     fp = [f"fp{k}" for k in range(words)]
-    fps = materialize(with_fingerprint(docs, shingle=shingle, words=words), "simhash-wide")
-    heads = materialize(_heads(fps, fp).withColumn("id", F.xxhash64(*fp)), "simhash-heads")
-    return _named(fps, fp, heads, similar_links(heads.select("id", *fp), similarity, words)).select("doc_id", "text_hash", "first")
+    with scratch():
+        fps = materialize(with_fingerprint(docs, shingle=shingle, words=words), "simhash-wide")
+        heads = materialize(_heads(fps, fp).withColumn("id", F.xxhash64(*fp)), "simhash-heads")
+        found = _named(fps, fp, heads, similar_links(heads, similarity, words))
+        return materialize(found.select("doc_id", "text_hash", "first"), "simhash-found", stays=True)
 
 
 def fingerprint_hex(fp: Column) -> Column:
@@ -353,11 +360,13 @@ def keep_one(docs: DataFrame, similarity: float = SIMILAR) -> DataFrame:
 
     What goes is found by id and text, so other rows that share an id stay.
     """
-    found = materialize(similar_texts(docs, similarity), "simhash-found")
     stays = F.expr("doc_id <=> first.id and text_hash = first.text_hash")
-    gone = small(materialize(found.where(~stays).select("doc_id", "text_hash").distinct(), "simhash-gone"))
-    twice = found.where(stays).groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    twice = small(materialize(twice.select("doc_id", "text_hash"), "simhash-twice"))
+    with scratch():
+        found = similar_texts(docs, similarity)
+        gone = materialize(found.where(~stays).select("doc_id", "text_hash").distinct(), "simhash-gone", stays=True)
+        twice = found.where(stays).groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        twice = materialize(twice.select("doc_id", "text_hash"), "simhash-twice", stays=True)
+    gone, twice = small(gone), small(twice)
     wide = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
     wide = wide.withColumn("hash", text_hash(F.col("row.text")))
     same = F.expr("d.row.doc_id <=> g.doc_id and d.hash = g.text_hash")
