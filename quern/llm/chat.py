@@ -1,14 +1,18 @@
 """Chat formatting of conversations whose turns hold typed content parts.
 
 A visitor flattens a turn's parts into one string: texts as they are, with control
-strings escaped, and images, audio and documents as numbered placeholders. It notes
+strings escaped, and images, audio and documents as numbered placeholders. Texts that
+stand next to each other are escaped as one, so no control string arises between them. It notes
 each attachment's reference, its place and the tokens that its placeholder expands
 to. A conversation's turns are sorted within one task and streamed, so a very long
 conversation needs no memory of its own length.
 
 Null texts, roles and parts are empty; turns with equal numbers are ordered by role
 and then text, null numbers come first; all rows with a null conversation id form one
-conversation. An empty table gives no rows, and other columns are not read.
+conversation. Sizes that are null, negative, NaN or infinite count as zero, and every
+attachment expands to one token at least; a part of an unknown type is an attachment of
+kind ``other`` and one token. An empty table gives no rows, and other columns are not
+read.
 """
 
 from __future__ import annotations
@@ -16,7 +20,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
-from math import ceil
+from math import ceil, isfinite
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -32,7 +36,10 @@ AFTER_FIRST = r"(?<=<)\\*(?:\||s>|/s>|<SYS>>|</SYS>>)|(?<=\[)\\*(?:INST\]|/INST\
 ESCAPE = re.compile(rf"(?:{AFTER_FIRST})")
 UNESCAPE = re.compile(r"(?<=<)\\(?=\\*(?:\||s>|/s>|<SYS>>|</SYS>>))|(?<=\[)\\(?=\\*(?:INST\]|/INST\]))")
 TURN = re.compile(r"<\|start\|>(.*?)<\|body\|>(.*?)<\|end\|>\n", re.DOTALL)
-FOUND = re.compile(r"<\|(image|audio|document):(\d+)\|>")
+FOUND = re.compile(r"<\|(image|audio|document|other):(\d+)\|>")
+
+#: What fits in a long, for attachments of absurd sizes.
+MOST_TOKENS = (1 << 63) - 1
 
 PARTS = "array<struct<type:string,text:string,ref:string,width:int,height:int,seconds:double,pages:int>>"
 ATTACHMENTS = "array<struct<number:int,kind:string,ref:string,at:long,tokens:long>>"
@@ -48,6 +55,10 @@ def unescape(text: str) -> str:
     return UNESCAPE.sub("", text)
 
 
+def measure(size: float | None) -> float:
+    return size if size and size > 0 and isfinite(size) else 0
+
+
 class Flatten:
     """Visits the parts of one turn after another; numbers go on through a conversation."""
 
@@ -60,38 +71,50 @@ class Flatten:
         """``at``: code points of the turn before its body."""
         self.out: list[str] = []
         self.at = at
+        self.waiting: list[str] = []
         self.texts: list[tuple[int, int]] = []
         self.attachments: list[dict] = []
 
+    def end_turn(self) -> str:
+        self._put_texts()
+        return "".join(self.out)
+
     def _put(self, piece: str) -> int:
         self.out.append(piece)
         self.at += len(piece)
         return self.at - len(piece)
 
+    def _put_texts(self) -> None:
+        """The texts since the last attachment, which are escaped together."""
+        if self.waiting:
+            start = self._put(escape("".join(self.waiting)))
+            self.texts.append((start, self.at))
+            self.waiting = []
+
     def visit(self, part: dict | None) -> None:
         part = part or {}
-        getattr(self, f"visit_{part.get('type') or 'text'}", self.visit_unknown)(part)
+        {"text": self.visit_text, "image": self.visit_image, "audio": self.visit_audio, "document": self.visit_document}.get(part.get("type") or "text", self.visit_other)(part)
 
     def visit_text(self, part: dict) -> None:
-        start = self._put(escape(part.get("text") or ""))
-        self.texts.append((start, self.at))
+        self.waiting.append(part.get("text") or "")
 
     def visit_image(self, part: dict) -> None:
-        w, h = (max(1, ceil((part.get(k) or 0) / self.patch)) for k in ("width", "height"))
+        w, h = (max(1, ceil(measure(part.get(k)) / self.patch)) for k in ("width", "height"))
         self._attach("image", part, w * h)
 
     def visit_audio(self, part: dict) -> None:
-        self._attach("audio", part, max(1, ceil((part.get("seconds") or 0) * self.audio_rate)))
+        self._attach("audio", part, max(1, ceil(measure(part.get("seconds")) * self.audio_rate)))
 
     def visit_document(self, part: dict) -> None:
-        self._attach("document", part, max(1, part.get("pages") or 0) * self.page_tokens)
+        self._attach("document", part, max(1, int(measure(part.get("pages")))) * self.page_tokens)
 
-    def visit_unknown(self, part: dict) -> None:
-        raise ValueError(f"unknown content part type {part.get('type')!r}")
+    def visit_other(self, part: dict) -> None:
+        self._attach("other", part, 1)
 
     def _attach(self, kind: str, part: dict, tokens: int) -> None:
+        self._put_texts()
         at = self._put(PLACEHOLDER.format(kind=kind, number=self.number))
-        self.attachments.append({"number": self.number, "kind": kind, "ref": part.get("ref"), "at": at, "tokens": tokens})
+        self.attachments.append({"number": self.number, "kind": kind, "ref": part.get("ref"), "at": at, "tokens": min(tokens, MOST_TOKENS)})
         self.number += 1
 
 
@@ -101,7 +124,7 @@ def format_turn(visitor: Flatten, role: str, parts: list[dict | None]) -> tuple[
     visitor.begin_turn(len(head))
     for part in parts:
         visitor.visit(part)
-    return head + "".join(visitor.out) + END, visitor.texts if role == "assistant" else [], visitor.attachments
+    return head + visitor.end_turn() + END, visitor.texts if role == "assistant" else [], visitor.attachments
 
 
 def parse_turns(formatted: str) -> list[tuple[str, str]]:
