@@ -10,6 +10,7 @@ stays a response and the others become revisits that refer to it.
 Archives are tables of (file, bytes), each row a complete gzip file with a member per
 record, some megabytes large, so any store that Spark writes can hold them and a lost
 executor's files are written again; :func:`export_files` makes real files of them.
+File names are taken to be unique.
 
 Null urls and payloads are empty; repeated rows get records of their own (with equal
 keys, all copies with the largest key are responses); rows with a null key come before
@@ -45,17 +46,34 @@ KEY_HEADER = "X-Archive-Key"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
 
 
+class ArcError(ValueError):
+    """An archive that breaks its own declarations."""
+
+
 def gzip_member(data: bytes, level: int = LEVEL) -> bytes:
     z = zlib.compressobj(level, zlib.DEFLATED, 31)
     return z.compress(data) + z.flush()
 
 
-def gunzip(data: bytes) -> Iterator[bytes]:
-    """The members of a gzip file, one by one."""
-    while data:
-        z = zlib.decompressobj(31)
-        yield z.decompress(data)
-        data = z.unused_data
+def gunzip(data: bytes, slice_bytes: int = 1 << 16) -> Iterator[bytes]:
+    """The members of a gzip file, one by one; other data are one member as they are."""
+    view, at = memoryview(data), 0
+    if data[:2] != b"\x1f\x8b":
+        if data:
+            yield data
+        return
+    while at < len(view):
+        z, out = zlib.decompressobj(31), []
+        while not z.eof:
+            if at >= len(view):
+                raise ArcError("the last gzip member is cut off")
+            part = view[at : at + slice_bytes]
+            try:
+                out.append(z.decompress(part))
+            except zlib.error as e:
+                raise ArcError(f"bad gzip data: {e}") from None
+            at += len(part) - len(z.unused_data)
+        yield b"".join(out)
 
 
 def digest(data: bytes) -> str:
@@ -78,38 +96,88 @@ def arc_record(url: str, date: str, content: bytes, version: int, name: str = "-
     return " ".join(values.get(f, "-") for f in FIELDS[version]).encode() + b"\n" + content + b"\n"
 
 
-class ArcError(ValueError):
-    """An archive that breaks its own declarations."""
+def _header_line(member: bytes, at: int) -> tuple[str, int]:
+    """The line at a place, and where the next one begins."""
+    end = member.find(b"\n", at)
+    if end < 0:
+        raise ArcError("a header line has no end")
+    return member[at:end].decode("utf-8", "replace").rstrip("\r"), end + 1
+
+
+def _length(text: str) -> int:
+    if not (text.isascii() and text.isdigit()):
+        raise ArcError(f"a record declares {text!r} bytes")
+    return int(text)
+
+
+def _fields(member: bytes) -> tuple[list[str], int]:
+    """The names of the header's fields, from a version block, and where it ends."""
+    line, at = _header_line(member, 0)
+    values = line.split(" ")
+    if not values[0].startswith("filedesc://"):
+        raise ArcError("an ARC file must begin with a version block")
+    size = _length(values[-1])
+    first, at_names = _header_line(member, at)
+    fields = _header_line(member, at_names)[0].split(" ")
+    if len(fields) != len(FIELDS.get(int(first.split(" ")[0]) if first.split(" ")[0].isdigit() else 0, [])) or len(values) != len(fields):
+        raise ArcError(f"unknown ARC version line {first!r}")
+    return fields, at + size
+
 
+def parse_arc(data: bytes, errors: list[tuple[int, int, str]] | None = None) -> Iterator[tuple[dict[str, str], bytes]]:
+    """(header, content) of the records of an ARC file, gzipped or plain; the version block sets the header's fields.
 
-def parse_arc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(header, content) of the records of an ARC file; the version block sets the header's fields."""
+    The URL may hold blanks: the other fields are counted from the line's end. What
+    breaks its declarations raises :class:`ArcError` or, where ``errors`` is a list, is
+    noted there as (gzip member, place in it, what) and the rest of its member is left
+    out; reading goes on with the next member.
+    """
     fields: list[str] = []
-    for member in gunzip(data):
+    members, k = gunzip(data), -1
+    while True:
         at = 0
-        while at < len(member):
-            if member[at : at + 1] == b"\n":  # between records
-                at += 1
-                continue
-            end = member.index(b"\n", at)
-            values = member[at:end].decode().split(" ")
+        try:
+            k += 1
+            member = next(members, None)
+            if member is None:
+                return
             if not fields:
-                if not values[0].startswith("filedesc://"):
-                    raise ArcError("an ARC file must begin with a version block")
-                size = int(values[-1])
-                first, named = member[end + 1 : end + 1 + size].decode().split("\n")[:2]
-                fields = named.split(" ")
-                if len(fields) != len(FIELDS.get(int(first.split(" ")[0]), [])) or len(values) != len(fields):
-                    raise ArcError(f"unknown ARC version line {first!r}")
-            else:
+                fields, at = _fields(member)
+            while at < len(member):
+                if member[at : at + 1] in (b"\n", b"\r"):  # between records
+                    at += 1
+                    continue
+                line, begin = _header_line(member, at)
+                values = line.rsplit(" ", len(fields) - 1)
                 if len(values) != len(fields):
                     raise ArcError(f"{len(values)} values in a header line of {len(fields)} fields")
-                size = int(dict(zip(fields, values, strict=True))["Archive-length"])
-                content = member[end + 1 : end + 1 + size]
+                size = _length(values[-1])
+                content = member[begin : begin + size]
                 if len(content) != size:
                     raise ArcError(f"a record declares {size} bytes and has {len(content)}")
                 yield dict(zip(fields, values, strict=True)), content
-            at = end + 1 + size
+                at = begin + size
+        except ArcError as e:
+            if errors is None:
+                raise
+            errors.append((k, at, str(e)))
+            if not fields:
+                return  # without a version block no header can be read
+
+
+def bad_records(arcs: DataFrame) -> DataFrame:
+    """(file, member, at, error): what :func:`convert` leaves out when it isn't strict."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for file, data in zip(batch.column("file").to_pylist(), batch.column("bytes").to_pylist(), strict=True):
+                errors: list[tuple[int, int, str]] = []
+                for _ in parse_arc(data or b"", errors):
+                    pass
+                if errors:
+                    yield pa.RecordBatch.from_arrays([pa.array([file] * len(errors), pa.string()), *(pa.array(c) for c in zip(*errors, strict=True))], ["file", "member", "at", "error"])
+
+    return arcs.select("file", "bytes").mapInArrow(run, "file string, member long, at long, error string")
 
 
 def write_arc(pages: DataFrame, version: int = 2, key: str = "page_id", url: str = "url", html: str = "html", date: str = "20240101000000") -> DataFrame:
@@ -172,14 +240,14 @@ def iso_date(arc: str) -> str:
 MEMBERS = "key string, id string, date string, uri string, payload_digest string, payload_bytes long, head binary, member binary"
 
 
-def warc_members(arcs: DataFrame) -> DataFrame:
+def warc_members(arcs: DataFrame, strict: bool = True) -> DataFrame:
     """A compressed response record per ARC record, with what a revisit in its place needs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for file, data in zip(batch.column("file").to_pylist(), batch.column("bytes").to_pylist(), strict=True):
                 rows = []
-                for k, (header, content) in enumerate(parse_arc(data)):
+                for k, (header, content) in enumerate(parse_arc(data or b"", None if strict else [])):
                     head = http_head(content)
                     payload = content[len(head) :]
                     is_http = bool(head)
@@ -191,26 +259,30 @@ def warc_members(arcs: DataFrame) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if k > 5 else None if k == 5 else pa.string()) for k, c in enumerate(zip(*rows, strict=True))], [x.split(" ")[0] for x in MEMBERS.split(", ")])
 
-    return arcs.mapInArrow(run, MEMBERS)
+    return arcs.select("file", "bytes").mapInArrow(run, MEMBERS)
 
 
-def convert(arcs: DataFrame, least_bytes: int = 0, key_order: str = "long") -> DataFrame:
+def convert(arcs: DataFrame, least_bytes: int = 0, key_order: str = "long", strict: bool = True) -> DataFrame:
     """ARC files (file, bytes) -> WARC files (file, bytes), equal payloads stored once.
 
-    ``key_order`` is the type in which keys are compared. Only digests and keys are
-    grouped; payloads stay where they are unless very many are repeated.
+    ``key_order`` is the type in which keys are compared. Only digests, keys and HTTP
+    heads are joined by digest; what decides whether a payload stays is its record's id,
+    so a very common payload makes no hot key for payloads. A bad record ends the job or,
+    if not ``strict``, is left out and listed by :func:`bad_records`.
     """
-    members = materialize(warc_members(arcs), "warc-members", "none")
-    narrow = members.select(F.col("key").cast(key_order).alias("key"), "id", "date", "uri", "payload_digest", "payload_bytes").where(f"payload_bytes >= {least_bytes}")
-    first = F.max(F.struct("key", "id", "date", "uri")).alias("kept")
+    members = materialize(warc_members(arcs, strict), "warc-members", "none")
+    key = F.col("key").cast(key_order)
+    narrow = members.drop("member").where(f"payload_bytes >= {least_bytes}")
+    first = F.max(F.struct(key.alias("key"), "id", "date", "uri")).alias("kept")
     kept = narrow.groupBy("payload_digest").agg(first, F.count(F.lit(1)).alias("n")).where("n > 1").select("payload_digest", "kept")
     kept = small(materialize(kept, "warc-kept"))
-    rows = members.join(kept, "payload_digest", "left")
-    is_revisit = F.coalesce((F.col("payload_bytes") >= least_bytes) & F.col("kept").isNotNull() & ~F.col("key").cast(key_order).eqNullSafe(F.col("kept.key")), F.lit(False))
-    rows = rows.select(
-        "key", "id", "date", "uri", "payload_digest", "payload_bytes", F.when(is_revisit, F.col("head")).alias("head"), F.when(~is_revisit, F.col("member")).alias("member"),
-        F.col("kept.key").cast("string").alias("to_key"), F.col("kept.id").alias("to_id"), F.col("kept.date").alias("to_date"), F.col("kept.uri").alias("to_uri"),
-    )
+    again = narrow.join(kept, "payload_digest").where(~key.eqNullSafe(F.col("kept.key")))
+    again = materialize(again, "warc-revisits")
+    stays = members.join(small(again.select("id")), "id", "left_anti")
+    own = ["key", "id", "date", "uri", "payload_digest", "payload_bytes"]
+    to = {"to_key": "key", "to_id": "id", "to_date": "date", "to_uri": "uri"}
+    stays = stays.select(*own, F.lit(None).cast("binary").alias("head"), "member", *(F.lit(None).cast("string").alias(c) for c in to))
+    rows = stays.union(again.select(*own, "head", F.lit(None).cast("binary").alias("member"), *(F.col(f"kept.{f}").cast("string").alias(c) for c, f in to.items())))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, k, out, size = TaskContext.get().partitionId(), 0, [], 0

@@ -32,6 +32,48 @@ def test_broken_archives():
         list(warc.parse_warc(gzip.compress(record[:-5] + b"\r\n\r\n")))
 
 
+def test_plain_files_and_blanks_in_urls():
+    block = warc.arc_version_block("f", 1, "20240102")
+    data = block + b"http://x/a b c 0.0.0.0 2024 text/html 3\nabc\n\nhttp://y 0.0.0.0 2024 text/html 0\n\n"
+    for form in (data, gzip.compress(data)):
+        assert [(h["URL"], h["Archive-date"], c) for h, c in warc.parse_arc(form)] == [("http://x/a b c", "2024", b"abc"), ("http://y", "2024", b"")]
+
+
+def test_bad_records_are_noted():
+    good, block = warc.arc_record("http://x", "2024", b"abc", 1), warc.arc_version_block("f", 1, "2024")
+    for bad, at in ((b"no header", 0), (b"http://x 0.0.0.0 2024 text/html 99\nx", 0), (b"http://x 0.0.0.0 2024 text/html -1\nx", 0), (good + b"a b\n", len(good))):
+        members = [block, good, bad, good]
+        errors = []
+        found = list(warc.parse_arc(b"".join(map(warc.gzip_member, members)), errors))
+        assert len(found) == 2 + (at > 0) and [e[:2] for e in errors] == [(2, at)]
+        with pytest.raises(warc.ArcError):
+            list(warc.parse_arc(b"".join(map(warc.gzip_member, members))))
+    cut = warc.gzip_member(block) + warc.gzip_member(good) + warc.gzip_member(good)[:-9]
+    errors = []
+    assert len(list(warc.parse_arc(cut, errors))) == 1 and "cut off" in errors[0][2]
+    errors = []
+    assert list(warc.parse_arc(b"", errors)) == errors == []
+
+
+def test_bad_records_in_a_table(spark):
+    good, block = warc.gzip_member(warc.arc_record("http://x", "2024", b"abc", 1)), warc.gzip_member(warc.arc_version_block("f", 1, "2024"))
+    arcs = spark.createDataFrame([("a.arc.gz", block + good + warc.gzip_member(b"bad\n") + good, 1), ("b.arc.gz", None, 2), ("c.arc.gz", bytearray(b"junk"), 3)], "file string, bytes binary, id long")
+    assert [(r["file"], r["member"]) for r in warc.bad_records(arcs).orderBy("file").collect()] == [("a.arc.gz", 2), ("c.arc.gz", 0)]
+    assert warc.read_warc(warc.convert(arcs, strict=False)).count() == 2
+
+
+def test_members_are_found_in_linear_time():
+    import time
+
+    one = warc.gzip_member(b"x" * 3000 + bytes(range(256)) * 4)
+    took = []
+    for n in (1_000, 16_000):
+        data, began = one * n, time.process_time()
+        assert sum(1 for _ in warc.gunzip(data)) == n
+        took.append(time.process_time() - began)
+    assert took[1] < 60 * took[0] + 1
+
+
 @pytest.mark.parametrize("version", [1, 2])
 @pytest.mark.parametrize("least", [0, 3])
 def test_round_trip(spark, version, least, monkeypatch, tmp_path):
