@@ -7,12 +7,13 @@ in-memory graph and reads the lists whose centroid's distance is at most a ratio
 the nearest one's. The ratio is set on the sample, against brute force, so that the
 wanted recall is reached there. Lists are cut into blocks of bounded size, so that a
 list of many equal vectors is spread over tasks; inner products are taken in double
-precision within blocks, and blocks' best are merged.
+precision within blocks, and blocks' best are merged. The products that are returned
+are sums in one order, whatever the block, so equal vectors have equal scores.
 
 Vectors of unequal length are compared by inner product as by distance after adding
 one component that makes all equally long. A vector that is null, zero, or holds null
-or non-finite components takes no part, as query or candidate, nor does one whose
-length isn't the most common. Equal scores rank by id; rows with a null id take no
+or non-finite components takes no part, as query or candidate; one with fewer
+components than others has zeros for the rest. Equal scores rank by id; rows with a null id take no
 part; of rows with one id all are candidates, and as queries they are one, the
 largest. A table without vectors gives no rows. Other columns are not read.
 """
@@ -49,8 +50,10 @@ def usable(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embeddi
     rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), v.alias("vector")).where(F.col("vec_id").isNotNull() & F.col("vector").isNotNull())
     bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
     rows = rows.where(~F.exists("vector", bad) & F.exists("vector", lambda x: x != 0))
-    size = rows.groupBy(F.size("vector").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
-    return rows.where(F.size("vector") == (size["n"] if size else 0))
+    least, most = rows.agg(F.min(F.size("vector")), F.max(F.size("vector"))).first()
+    if least != most:
+        rows = rows.withColumn("vector", F.concat("vector", F.array_repeat(F.lit(0.0), F.lit(most) - F.size("vector"))))
+    return rows
 
 
 def packed(rows: DataFrame) -> DataFrame:
@@ -73,8 +76,8 @@ def squared_distances(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.maximum((x * x).sum(1)[:, None] - 2 * x @ c.T + (c * c).sum(1), 0)
 
 
-def train_centroids(x: np.ndarray, lists: int, rounds: int = 12, seed: int = 0) -> np.ndarray:
-    """k-means whose assignment pays for lists that are larger than the mean."""
+def train_centroids(x: np.ndarray, lists: int, rounds: int = 12, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """k-means whose assignment pays for lists that are larger than the mean: centroids, and what each costs."""
     rng = np.random.default_rng(seed)
     c = x[rng.choice(len(x), lists, replace=False)].copy()
     burden = np.zeros(lists)
@@ -87,12 +90,26 @@ def train_centroids(x: np.ndarray, lists: int, rounds: int = 12, seed: int = 0)
             c[k] = x[own == k].mean(0)
         for k in np.flatnonzero(sizes == 0):
             c[k] = x[rng.integers(len(x))]
-    return c
+    return c, balance(squared_distances(x, c))
+
+
+def balance(d: np.ndarray, rounds: int = 40) -> np.ndarray:
+    """What lists should cost, beside distances, so that the largest is as small as was found in some rounds."""
+    mean, step = d.shape[0] / d.shape[1], d.min(1).mean()
+    best, least, burden = np.zeros(d.shape[1]), np.inf, np.zeros(d.shape[1])
+    for _ in range(rounds):
+        sizes = np.bincount((d + burden).argmin(1), minlength=d.shape[1])
+        if sizes.max() < least:
+            best, least = burden.copy(), sizes.max()
+        burden = np.maximum(burden + step * np.clip(sizes / mean - 1, -1, 1), 0)
+        step *= 0.88
+    return best
 
 
 @dataclass
 class Index:
     centroids: np.ndarray
+    burden: np.ndarray
     longest: float
     ratio: float = 0.0
 
@@ -149,11 +166,11 @@ class Index:
         return out
 
     def lists_of(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(row, list): the nearest list of each vector, and the others at its boundary."""
-        d = np.sqrt(squared_distances(self.lift(x), self.centroids))
+        """(row, list): the list of each vector, by distance and the list's cost, and the others at its boundary."""
+        d = squared_distances(self.lift(x), self.centroids) + self.burden
         near = np.argsort(d, axis=1, kind="stable")[:, :COPIES]
         dn = np.take_along_axis(d, near, 1)
-        ok = dn <= dn[:, :1] * (1 + BOUNDARY)
+        ok = dn <= dn[:, :1] * (1 + BOUNDARY) ** 2
         ok[:, 0] = True
         row, col = np.nonzero(ok)
         return row, near[row, col]
@@ -182,7 +199,7 @@ def build(rows: DataFrame, k: int = NEAREST) -> Index | None:
     lists = max(1, min(MOST_LISTS, len(x) // 8, ceil(count / LIST_SIZE)))
     length = float(np.sqrt(longest)) * (1 + 1e-12)
     lifted = np.hstack([x, np.sqrt(np.maximum(length**2 - (x * x).sum(1), 0))[:, None]])
-    index = Index(train_centroids(lifted, lists), length)
+    index = Index(*train_centroids(lifted, lists), length)
     index.tune(x, k)
     return index
 
@@ -251,18 +268,20 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = NEAREST, vec_id: str
         if not len(q) or not len(v):
             return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "ids": pd.Series(dtype=object), "scores": pd.Series(dtype=object)})
         x, ids = matrix(v["vector"].tolist()), v["vec_id"].to_numpy()
-        s = matrix(q["vector"].tolist()) @ x.T
         order = np.argsort(ids, kind="stable")
-        alone, first = np.unique(ids[order], return_index=True)
-        if len(alone) < len(ids):  # a repeated id counts once, by its best row
-            ids, s = alone, np.maximum.reduceat(s[:, order], first, axis=1)
+        x, ids = x[order], ids[order]
+        alone, first = np.unique(ids, return_index=True)
+        y = matrix(q["vector"].tolist())
+        longest = np.sqrt((x * x).sum(1).max())
         out = []
-        for query, row in zip(q["query_id"].to_numpy(), s, strict=True):
-            row = np.where(ids == query, -np.inf, row)
-            some = np.flatnonzero(row >= np.partition(row, len(row) - k)[len(row) - k]) if len(row) > k else np.arange(len(row))
-            found, scores = best_of(ids[some], row[some], k)
-            real = scores > -np.inf
-            out.append((query, found[real].tolist(), scores[real].tolist()))
+        for query, own, row in zip(q["query_id"].to_numpy(), y, y @ x.T, strict=True):
+            row[ids == query] = -np.inf
+            best = row if len(alone) == len(ids) else np.maximum.reduceat(row, first)  # a repeated id counts once, by its best row
+            least = np.partition(best, len(best) - k)[len(best) - k] if len(best) > k else -np.inf
+            slack = 1e-12 * longest * np.sqrt((own * own).sum())  # what another order of adding may change
+            some = np.flatnonzero((row >= least - slack) & (row > -np.inf))
+            found, scores = best_of(ids[some], (x[some] * own).sum(axis=1), k)
+            out.append((query, found.tolist(), scores.tolist()))
         return pd.DataFrame(out, columns=["query_id", "ids", "scores"])
 
     keys = ["list", "vb", "qb"]

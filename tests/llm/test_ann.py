@@ -52,9 +52,36 @@ def test_recall(spark, monkeypatch, spread):
 
 def test_unusable_vectors_and_ties(spark):
     good = [(i, [1.0, float(i % 3)]) for i in range(12)]
-    bad = [(20, None), (21, [0.0, 0.0]), (22, [1.0, None]), (23, [float("nan"), 1.0]), (24, [float("inf"), 1.0]), (25, [1.0]), (40, []), (None, [1.0, 1.0])]
-    got = ann.nearest(frame(spark, good + bad), F.col("vec_id") % 20 == 0).collect()
-    check(got, brute(good, [0], 20), 1.0)
+    bad = [(20, None), (21, [0.0, 0.0]), (22, [1.0, None]), (23, [float("nan"), 1.0]), (24, [float("inf"), 1.0]), (40, []), (None, [1.0, 1.0])]
+    short = [(25, [1.0]), (26, [0.5]), (27, [0.0, 3.0])]
+    got = ann.nearest(frame(spark, good + bad + short), F.col("vec_id") % 20 == 0).collect()
+    check(got, brute(good + [(i, (v + [0.0])[:2]) for i, v in short], [0], 20), 1.0)
+
+
+def test_equal_vectors_tie_in_every_block(spark, monkeypatch):
+    monkeypatch.setattr(ann, "BLOCK_VECTORS", 37)
+    monkeypatch.setattr(ann, "BLOCK_QUERIES", 3)
+    rng = np.random.default_rng(2)
+    few = rng.normal(size=(6, 67)).astype(np.float32)
+    items = [(i, few[i % 6].tolist()) for i in range(300)]
+    got = ann.nearest(frame(spark, items), F.col("vec_id") % 50 == 0).collect()
+    x = few.astype(np.float64)
+    for q in range(0, 300, 50):
+        products = (x * x[q % 6]).sum(axis=1)
+        want = sorted((-products[i % 6], i) for i in range(300) if i != q)[:20]
+        assert [(-r["score"], r["vec_id"]) for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == q] == want
+
+
+def test_lists_are_balanced():
+    rng = np.random.default_rng(0)
+    x = np.concatenate([rng.normal(size=(3000, 8)), 6 + 0.2 * rng.normal(size=(1000, 8))])
+    length = float(np.sqrt((x * x).sum(1).max())) * (1 + 1e-12)
+    lifted = np.hstack([x, np.sqrt(np.maximum(length**2 - (x * x).sum(1), 0))[:, None]])
+    index = ann.Index(*ann.train_centroids(lifted, 20), length)
+    plain = np.bincount(ann.squared_distances(lifted, index.centroids).argmin(1), minlength=20)
+    row, lists = index.lists_of(x)
+    own = np.bincount(lists[np.unique(row, return_index=True)[1]], minlength=20)
+    assert own.max() <= plain.max() and own.sum() == len(x) and index.burden.max() > 0
 
 
 def test_many_equal_vectors(spark, monkeypatch):
