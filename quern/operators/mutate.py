@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.errors import AnalysisError
 from quern.functions.dialect import SPARK_TYPES, Lowering, Typed, cast, truth
+from quern.operators.pruning import key_bounds
 from quern.plans import ast
 from quern.sources.catalog import Table
-from quern.sources.tables import Storage
+from quern.sources.tables import NOT_NULL, Storage
 
 #: What an omitted column is; times are null.
 ZERO = {"int": 0, "float": 0.0, "string": "", "bool": False, "timestamp": None}
@@ -24,7 +25,7 @@ def define(stmt: ast.CreateTable) -> Table:
     wanted = set(stmt.primary) | {c.name for c in stmt.columns if c.primary} or set(names[:1])
     if missing := wanted - set(names):
         raise AnalysisError(f"no column {sorted(missing)[0]} for the primary key")
-    return Table(stmt.name, [(c.name, c.kind) for c in stmt.columns], [n for n in names if n in wanted], [c.name for c in stmt.columns if c.not_null], stmt.engine, stmt.retention)
+    return Table(stmt.name, [(c.name, c.kind) for c in stmt.columns], [n for n in names if n in wanted], [n for n in names if n in wanted or any(c.name == n and c.not_null for c in stmt.columns)], stmt.engine, stmt.retention)
 
 
 def insert(storage: Storage, t: Table, stmt: ast.Insert, now: datetime | None = None) -> int:
@@ -36,10 +37,6 @@ def insert(storage: Storage, t: Table, stmt: ast.Insert, now: datetime | None =
     for k, row in enumerate(stmt.rows):
         if len(row) != len(columns):
             raise AnalysisError(f"{len(row)} values for {len(columns)} columns")
-        given = dict(zip(columns, row, strict=True))
-        for c in t.not_null:
-            if c in given and given[c] == ast.Literal(None):
-                raise AnalysisError(f"column {c} must not be null")
         values = [to_kind(lower(e), kind).cast(SPARK_TYPES[kind]) for e, kind in zip(row, kinds, strict=True)]
         rows.append(F.struct(*(v.alias(c) for v, c in zip(values, columns, strict=True)), F.lit(k).cast("long").alias("_seq")))
     df = storage.spark.range(1).select(F.inline(F.array(*rows)))
@@ -51,21 +48,30 @@ def to_kind(x: Typed, kind: str):  # noqa: ANN201
     return x.col if x.kind == kind and not x.naive else cast(x, kind).col
 
 
+def checked(t: Table, name: str, value: Column) -> Column:
+    """The value of a column, or an error where it is null and must not be."""
+    if name not in t.not_null:
+        return value
+    return F.when(value.isNotNull(), value).otherwise(F.raise_error(F.lit(f"column {name} {NOT_NULL}")))
+
+
 def upsert(storage: Storage, t: Table, df: DataFrame, seq=None) -> int:  # noqa: ANN001
     """Write whole rows; omitted columns get their zero values."""
     unknown = set(df.columns) - {c for c, _ in t.columns} - {"_seq"}
     if unknown:
         raise AnalysisError(f"table {t.name} has no column {sorted(unknown)[0]}")
     filled = df.select("*", *(F.lit(ZERO[k]).cast(SPARK_TYPES[k]).alias(c) for c, k in t.columns if c not in df.columns))
-    return storage.append(t, filled, seq=seq if seq is not None else F.monotonically_increasing_id())
+    filled = filled.withColumn("_place", seq if seq is not None else F.monotonically_increasing_id())
+    filled = filled.select(*(checked(t, c, F.col(f"`{c}`").cast(SPARK_TYPES[k])).alias(c) for c, k in t.columns), "_place")
+    return storage.append(t, filled, seq=F.col("_place"))
 
 
 def update(storage: Storage, t: Table, stmt: ast.Update, now: datetime | None = None) -> int:
     """Set columns of the rows that match; expressions see the old row. A new key moves the row."""
-    view = storage.view(t)
+    view = storage.view(t, bounds=key_bounds(stmt.where, t))
     lower = Lowering.of(view.schema, now)
     matched = view.where(truth(lower(stmt.where))) if stmt.where else view
-    changes = {c: to_kind(lower(e), t.kind(c)).cast(SPARK_TYPES[t.kind(c)]) for c, e in stmt.changes}
+    changes = {c: checked(t, c, to_kind(lower(e), t.kind(c)).cast(SPARK_TYPES[t.kind(c)])) for c, e in stmt.changes}
     if not set(changes) & set(t.key):
         rows = matched.select(*(F.col(k) for k in t.key), *(v.alias(c) for c, v in changes.items()))
         return storage.append(t, rows, sets=list(changes))
@@ -76,6 +82,6 @@ def update(storage: Storage, t: Table, stmt: ast.Update, now: datetime | None =
 
 
 def delete(storage: Storage, t: Table, where: ast.Expr | None, now: datetime | None = None) -> int:
-    view = storage.view(t)
+    view = storage.view(t, bounds=key_bounds(where, t))
     matched = view.where(truth(Lowering.of(view.schema, now)(where))) if where else view
     return storage.append(t, matched.select(*t.key), op="D")

@@ -25,7 +25,9 @@ class Table:
     indexes: dict[str, str] = field(default_factory=dict)
     base: int = 0  # revision up to which the base files go; 0: none
     base_rows: int = 0
-    deltas: list[tuple[int, int, bool]] = field(default_factory=list)  # committed (revision, rows, whether it may hold new keys)
+    manifest: int = 0  # revision that wrote the list of base files
+    #: Committed (revision, rows, whether it may hold new keys, least and greatest first key).
+    deltas: list[tuple] = field(default_factory=list)
 
     @property
     def schema(self) -> T.StructType:

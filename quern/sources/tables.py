@@ -4,14 +4,22 @@ A change row holds the table's columns, its revision and place within the statem
 whether it writes or deletes, and which columns it sets (null: all). Only changes are
 grouped by key; the base is joined to them, by broadcast while they are few, so a few
 changes never shuffle a large base, and a table without changes is read as it is.
+
+A manifest lists the base files with the range of first keys that each holds, so that
+reads bounded by that key open few files and compaction rewrites only files that
+changes touch.
 """
 
 from __future__ import annotations
 
+import json
+from dataclasses import asdict, dataclass
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quern.errors import AnalysisError
 from quern.sources.catalog import Catalog, Table
 
 META = [T.StructField("_rev", T.LongType()), T.StructField("_seq", T.LongType()), T.StructField("_op", T.StringType()), T.StructField("_set", T.ArrayType(T.StringType()))]
@@ -20,12 +28,45 @@ BROADCAST_ROWS = 200_000
 #: Change files after which a table is compacted.
 COMPACT_AFTER = 10
 ROWS_A_FILE = 2_000_000
+NOT_NULL = "must not be null"
+
+
+@dataclass(frozen=True)
+class BaseFile:
+    path: str
+    rows: int
+    low: int | float | str | None
+    high: int | float | str | None
+
+
+@dataclass(frozen=True)
+class Bounds:
+    """What first keys may be, ends included; times are microseconds, None is no bound."""
+
+    low: int | float | str | None = None
+    high: int | float | str | None = None
+
+    def meet(self, low: int | float | str | None, high: int | float | str | None) -> bool:
+        return (self.low is None or high is None or high >= self.low) and (self.high is None or low is None or low <= self.high)
+
+    def condition(self, c: Column) -> Column:
+        """The same on a column of plain keys (see :func:`plain_key`)."""
+        out = F.lit(True)
+        if self.low is not None:
+            out = out & (c >= F.lit(self.low))
+        return out & (c <= F.lit(self.high)) if self.high is not None else out
+
+
+def plain_key(t: Table, c: Column) -> Column:
+    """A first key as the manifest has it."""
+    return F.unix_micros(c) if t.kind(t.key[0]) == "timestamp" else c
 
 
 class Storage:
     def __init__(self, spark: SparkSession, catalog: Catalog) -> None:
         self.spark, self.catalog = spark, catalog
         self.bases: dict[str, tuple[int, DataFrame]] = {}  # base files never change, so their listing is kept
+        self.manifests: dict[str, tuple[int, list[BaseFile]]] = {}
 
     def folder(self, t: Table) -> str:
         return f"{self.catalog.root}/{t.name}"
@@ -35,15 +76,41 @@ class Storage:
 
     # --- reading
 
-    def base(self, t: Table) -> DataFrame:
+    def files(self, t: Table) -> list[BaseFile]:
+        """The base files, by their least key."""
         if not t.base:
+            return []
+        number, held = self.manifests.get(t.name, (None, []))
+        if number != t.manifest:
+            held = [BaseFile(**f) for f in json.loads(self.catalog.files.read(f"{self.folder(t)}/manifest/{t.manifest}.json"))]
+            self.manifests[t.name] = (t.manifest, held)
+        return held
+
+    def base(self, t: Table, bounds: Bounds | None = None, files: list[BaseFile] | None = None) -> DataFrame:
+        """The base's rows, at least those within bounds of the first key, or those of some files."""
+        every = self.files(t)
+        wanted = [f for f in every if bounds.meet(f.low, f.high)] if bounds else every if files is None else files
+        if not wanted:
             return self.spark.createDataFrame([], t.schema)
-        revision, df = self.bases.get(t.name, (None, None))
-        if revision != t.base:
-            df = self.spark.read.schema(t.schema).parquet(f"{self.folder(t)}/base/rev={t.base}")
-            self.bases[t.name] = (t.base, df)
+        if len(wanted) < len(every):
+            return self.spark.read.schema(t.schema).parquet(*(f.path for f in wanted))
+        number, df = self.bases.get(t.name, (None, None))
+        if number != t.manifest:
+            df = self.spark.read.schema(t.schema).parquet(*(f.path for f in every))
+            self.bases[t.name] = (t.manifest, df)
         return df
 
+    def ends(self, t: Table, rows: int, last: bool) -> list[BaseFile]:
+        """Files that hold the first, or last, so many rows by the first key, and all rows that tie with these."""
+        out, held, every = [], 0, sorted(self.files(t), key=lambda f: (f.high if last else f.low), reverse=last)
+        for f in every:
+            edge = (min(x.low for x in out) if last else max(x.high for x in out)) if out else None
+            if held >= rows and (f.high < edge if last else f.low > edge):
+                break
+            out.append(f)
+            held += f.rows
+        return out
+
     def deltas(self, t: Table, upto: int | None = None) -> DataFrame | None:
         paths = [f"{self.folder(t)}/delta/rev={r}" for r, *_ in t.deltas if r > t.base and (upto is None or r <= upto)]
         return self.spark.read.schema(self.delta_schema(t)).parquet(*paths) if paths else None
@@ -61,11 +128,12 @@ class Storage:
     def others(self, t: Table) -> list[str]:
         return [c for c, _ in t.columns if c not in t.key]
 
-    def view(self, t: Table, upto: int | None = None) -> DataFrame:
-        """The table as of a revision (None: now)."""
+    def view(self, t: Table, upto: int | None = None, bounds: Bounds | None = None, files: list[BaseFile] | None = None) -> DataFrame:
+        """The table as of a revision (None: now); with bounds, at least the rows whose first key is within them; with files, those and the changes."""
         deltas = self.deltas(t, upto)
+        base = lambda: self.base(t, bounds, files)
         if deltas is None:
-            return self.base(t)
+            return base()
         changes = self.changes(t, deltas)
         after = lambda c: c.isNotNull() & (F.col("_deleted").isNull() | (F.struct(c["_rev"], c["_seq"]) > F.col("_deleted")))
         alive = after(F.col("_written"))
@@ -74,22 +142,28 @@ class Storage:
         if not t.base:
             made = changes.where(alive)
             return made.select(*((value(c, F.lit(None)) if c not in t.key else F.col(c)).alias(c) for c in columns))
-        rows = sum(n for r, n, _ in t.deltas if r > t.base and (upto is None or r <= upto))
+        past = [d for d in t.deltas if d[0] > t.base and (upto is None or d[0] <= upto)]
+        rows = sum(d[1] for d in past)
         if rows <= BROADCAST_ROWS:
             changes = F.broadcast(changes)
-        b, d = self.base(t).alias("b"), changes.alias("d")
+        b, d = base().alias("b"), changes.alias("d")
         same = [F.col(f"b.{k}").eqNullSafe(F.col(f"d.{k}")) for k in t.key]
         touched = F.col("_written").isNotNull() | F.col("_deleted").isNotNull()
         # A base row keeps what no change since its deletion, if any, has set.
         old = lambda c: F.when(F.col("_deleted").isNull(), F.col(f"b.{c}"))
         merged = b.join(d, same, "left").where(~touched | alive)
         merged = merged.select(*((F.col(f"b.{c}") if c in t.key else F.when(touched, value(c, old(c))).otherwise(F.col(f"b.{c}"))).alias(c) for c in columns))
-        if not any(whole for r, _, whole in t.deltas if r > t.base and (upto is None or r <= upto)):
+        whole = [x for x in past if x[2]]
+        if not whole:
             return merged  # only deletions and changes to rows that the base has
-        held = self.base(t).select(*t.key).alias("b").join(d, same, "left_semi").alias("b")
+        # Keys that the base lacks can only be among those written whole; the base is asked for these alone.
+        written = Bounds(min(x[3] for x in whole), max(x[4] for x in whole)) if all(len(x) > 4 and x[3] is not None for x in whole) else Bounds()
+        first = plain_key(t, F.col(t.key[0]))
+        near = self.base(t, written) if files is None else base()
+        held = near.where(written.condition(first)).select(*t.key).alias("b").join(d, same, "left_semi").alias("b")
         if rows <= BROADCAST_ROWS:
             held = F.broadcast(held)
-        new = self.changes(t, deltas).alias("d").join(held, same, "left_anti").where(alive)
+        new = self.changes(t, deltas.where(written.condition(first))).alias("d").join(held, same, "left_anti").where(alive)
         return merged.union(new.select(*((value(c, F.lit(None)) if c not in t.key else F.col(f"d.{c}")).alias(c) for c in columns)))
 
     # --- writing
@@ -106,10 +180,16 @@ class Storage:
                 (F.array(*map(F.lit, sets)) if sets is not None else F.lit(None)).cast("array<string>").alias("_set"),
             )
             path = f"{self.folder(t)}/delta/rev={revision}"
-            out.write.mode("overwrite").parquet(path)
-            count = self.spark.read.schema(self.delta_schema(t)).parquet(path).count()
+            try:
+                out.write.mode("overwrite").parquet(path)
+            except Exception as e:
+                if NOT_NULL in str(e):
+                    raise AnalysisError(next(x for x in str(e).splitlines() if NOT_NULL in x)) from None
+                raise
+            first = plain_key(t, F.col(t.key[0]))
+            count, low, high = self.spark.read.schema(self.delta_schema(t)).parquet(path).agg(F.count(F.lit(1)), F.min(first), F.max(first)).first()
             if count:
-                t.deltas.append((revision, count, sets is None and not (isinstance(op, str) and op == "D")))
+                t.deltas.append((revision, count, sets is None and not (isinstance(op, str) and op == "D"), low, high))
             self.catalog.save()
             return count
 
@@ -117,35 +197,72 @@ class Storage:
         """Write rows that say themselves, in _op and _seq, what they do."""
         return self.append(t, rows, op=F.col("_op"), seq=F.col("_seq"))
 
-    def compact(self, t: Table, keep: int | None = None) -> int:
-        """Fold changes up to a revision into new base files, sorted by key; the base's rows."""
+    def compact(self, t: Table, keep: int | None = None, whole: bool = False) -> int:
+        """Fold changes up to a revision into new base files, sorted by key; the base's rows.
+
+        Files whose keys no change touches stay, unless the whole table is asked for.
+        """
         with self.catalog.lock:
-            past = [r for r, *_ in t.deltas if r > t.base and (keep is None or r <= keep)]
+            past = [d for d in t.deltas if d[0] > t.base and (keep is None or d[0] <= keep)]
             if not past:
                 return t.base_rows
-            revision = max(past)
-            rows = t.base_rows + sum(n for r, n, _ in t.deltas if r <= revision)
-            files = max(1, -(-rows // ROWS_A_FILE))
-            out = self.view(t, revision).repartitionByRange(files, *t.key).sortWithinPartitions(*t.key)
-            writer = out.write.mode("overwrite")
-            for column in {*t.indexes.values(), *t.key}:
-                writer = writer.option(f"parquet.bloom.filter.enabled#{column}", "true")
-            path = f"{self.folder(t)}/base/rev={revision}"
-            writer.parquet(path)
-            # Old files stay until vacuum(): readers may still use them.
-            t.base, t.base_rows = revision, self.spark.read.parquet(path).count()
+            known = all(len(d) > 4 and d[3] is not None for d in past)
+            every = self.files(t)
+            touched = [f for f in every if any(Bounds(d[3], d[4]).meet(f.low, f.high) for d in past)] if known and not whole else every
+            rows = sum(f.rows for f in touched) + sum(d[1] for d in past)
+            revision = max(d[0] for d in past)
+            self._replace(t, touched, self.view(t, revision, files=touched), rows, revision)
+            t.base = revision
             t.deltas = [d for d in t.deltas if d[0] > revision]
             self.catalog.save()
             return t.base_rows
 
+    def split(self, t: Table, at: int | float | str) -> int:
+        """Rewrite the base files that hold keys on both sides of a first key, so that one begins there; the base's rows."""
+        with self.catalog.lock:
+            self.compact(t)
+            for f in [f for f in self.files(t) if f.low is not None and f.low < at <= f.high]:
+                first = plain_key(t, F.col(t.key[0]))
+                sides = self.base(t, files=[f]).withColumn("_side", (first >= F.lit(at)).cast("int"))
+                self._replace(t, [f], sides, f.rows, self.catalog.next_revision(), ["_side"])
+            self.catalog.save()
+            return t.base_rows
+
+    def rewrite(self, t: Table) -> None:
+        """Write all base files again, with what indexes now ask for."""
+        with self.catalog.lock:
+            if self.files(t):
+                self._replace(t, self.files(t), self.base(t), t.base_rows, self.catalog.next_revision())
+
+    def _replace(self, t: Table, old: list[BaseFile], rows: DataFrame, count: int, number: int, by: list[str] | None = None) -> None:
+        """Write rows as new base files in place of some others."""
+        files = max(1, -(-count // ROWS_A_FILE)) if not by else 2
+        out = rows.repartitionByRange(files, *(by or t.key)).sortWithinPartitions(*(by or []), *t.key)
+        writer = out.drop(*(by or [])).write.mode("overwrite")
+        for column in {*t.indexes.values(), *t.key}:
+            writer = writer.option(f"parquet.bloom.filter.enabled#{column}", "true")
+        path = f"{self.folder(t)}/base/rev={number}"
+        writer.parquet(path)
+        # Old files stay until vacuum(): readers may still use them.
+        first = plain_key(t, F.col(t.key[0]))
+        made = self.spark.read.schema(t.schema).parquet(path).groupBy(F.col("_metadata.file_path").alias("path")).agg(F.count(F.lit(1)).alias("rows"), F.min(first).alias("low"), F.max(first).alias("high"))
+        kept = [f for f in self.files(t) if f not in old]
+        known = lambda x: None if isinstance(x, float) and x != x else x  # noqa: E731  NaN is above all numbers, so no bound
+        every = kept + [BaseFile(r["path"], r["rows"], known(r["low"]), known(r["high"])) for r in made.collect()]  # a row a file
+        every.sort(key=lambda f: (f.low is not None, f.low if f.low is not None else 0))
+        self.catalog.files.write(f"{self.folder(t)}/manifest/{number}.json", json.dumps([asdict(f) for f in every]))
+        t.manifest, t.base_rows = number, sum(f.rows for f in every)
+        t.base = t.base or number
+
     def vacuum(self, t: Table) -> None:
         """Delete files that no committed state refers to."""
         folder = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder(t))
         fs = folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        wanted = {"base": {t.base}, "delta": {r for r, *_ in t.deltas}}
+        used = {int(f.path.rsplit("/rev=", 1)[1].split("/")[0]) for f in self.files(t)}
+        wanted = {"base": used, "delta": {d[0] for d in t.deltas}, "manifest": {t.manifest}}
         for part, keep in wanted.items():
             where = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder(t)}/{part}")
             if fs.exists(where):
                 for status in fs.listStatus(where):
-                    if int(status.getPath().getName().removeprefix("rev=")) not in keep:
+                    if int(status.getPath().getName().removeprefix("rev=").split(".")[0]) not in keep:
                         fs.delete(status.getPath(), True)

@@ -15,11 +15,20 @@ LONGEST_INTERVAL = 30.0
 
 
 def change_stream(storage: Storage, t: Table) -> DataFrame:
-    """A stream of a table's change rows as they are written, with their revision and whether they delete."""
+    """A stream of a table's change rows as they are written, with their revision and whether they delete.
+
+    A revision that a crash left uncommitted is in the folder and in the stream; :func:`committed` tells.
+    """
     path = f"{storage.folder(t)}/delta/*"
     return storage.spark.readStream.schema(storage.delta_schema(t)).parquet(path)
 
 
+def committed(storage: Storage, t: Table, revisions: DataFrame) -> DataFrame:
+    """Of a batch of change rows, those that the catalog knows; for use in ``foreachBatch``."""
+    known = {d[0] for d in t.deltas}
+    return revisions.where((F.col("_rev") <= t.base) | F.col("_rev").isin(*known) if known else F.col("_rev") <= t.base)
+
+
 def watch(storage: Storage, kv: Table, prefix: str = "") -> DataFrame:
     """A stream (rev, key, value, is_delete) of the changes to keys with a prefix."""
     rows = change_stream(storage, kv).where(F.col("key").startswith(prefix))

@@ -192,9 +192,9 @@ def test_admin_views(engine):
     e.run_script("CREATE TABLE t (id int PRIMARY KEY, name string); CREATE INDEX n ON t (name); INSERT INTO t VALUES (2, 'b'), (10, 'a')")
     assert e.sql("ADMIN SHARDS t").count() == 0
     assert e.execute("ADMIN SPLIT TABLE t AT 5").affected == 2
-    assert [(r["n_rows"], r["start"], r["end"]) for r in e.sql("ADMIN SHARDS t").collect()] == [(2, "{2}", "{10}")]
+    assert [(r["n_rows"], r["start"], r["end"]) for r in e.sql("ADMIN SHARDS t").collect()] == [(1, "2", "2"), (1, "10", "10")]
     assert [(r["name"], r["key"], r["base_rows"], r["deltas"]) for r in e.sql("ADMIN TABLES").collect()] == [("t", "id", 2, 0)]
-    assert rows(e, "SELECT id FROM t WHERE name = 'a'") == [(10,)]
+    assert [tuple(r) for r in e.rows("SELECT id FROM t WHERE name = 'a'")] == [(10,)]
     classes = {r["class"]: r["count"] for r in e.sql("ADMIN METRICS").collect()}
     assert classes["insert"] == 1 and classes["point"] == 1 and e.sql("ADMIN METRICS-JSON").count() >= len(classes)
 
@@ -234,3 +234,100 @@ def test_many_changes_are_joined_by_shuffle(engine, monkeypatch):
     e.execute("DELETE FROM t WHERE id >= 990")
     e.execute("INSERT INTO t VALUES (5000, 1)")
     assert rows(e, "SELECT COUNT(*), COUNT_IF(g = 100), MAX(id) FROM t") == [(991, 10, 5000)]
+
+
+def test_nulls_in_keys_and_not_null_columns(engine):
+    e = engine
+    e.execute("CREATE TABLE a (id int PRIMARY KEY, s string NOT NULL, f float)")
+    e.execute("INSERT INTO a VALUES (1, 'x', 1.0)")
+    for bad in ("INSERT INTO a VALUES (NULL, 'x', 1.0)", "INSERT INTO a VALUES (2, CAST(NULL AS string), 1.0)", "INSERT INTO a VALUES (3, NULL, 1.0)", "UPDATE a SET id = NULL", "UPDATE a SET s = NULL", "INSERT INTO a VALUES (4, 'y', 1.0), (CAST(NULL AS int), 'x', 1.0)"):
+        with pytest.raises(AnalysisError):
+            e.execute(bad)
+    for bad in ([{"id": None, "s": "x"}], [{"id": 5, "s": None}]):
+        with pytest.raises(AnalysisError):
+            e.ingest("a", bad)
+    with pytest.raises(AnalysisError):
+        e.insert_frame("a", e.spark.createDataFrame([(None, "x")], "id long, s string"))
+    e.execute("UPDATE a SET f = NULL")
+    assert rows(e, "SELECT * FROM a") == [(1, "x", None)]
+
+
+def opened(df):
+    return len(df.inputFiles())
+
+
+def test_reads_by_key_open_few_files(engine, monkeypatch):
+    e = engine
+    monkeypatch.setattr("quern.sources.tables.ROWS_A_FILE", 100)
+    e.execute("CREATE TABLE p (id int PRIMARY KEY, g int)")
+    e.insert_frame("p", e.spark.range(1000).selectExpr("id", "id % 7 AS g"))
+    e.execute("ADMIN COMPACT")
+    assert len(e.storage.files(e.managed("p"))) == 10
+    for sql, files in (("SELECT * FROM p WHERE id = 42", 1), ("SELECT * FROM p WHERE 250 <= id AND id < 260 AND g = 3", 1), ("SELECT id FROM p ORDER BY id DESC LIMIT 10", 1), ("SELECT id FROM p ORDER BY id LIMIT 10", 1), ("SELECT * FROM p WHERE g = 1", 10), ("SELECT id FROM p WHERE id > 5000", 0), ("SELECT id FROM p WHERE id = 3 OR g = 1", 10)):
+        assert opened(e.sql(sql)) <= files + (files < 10), sql
+    assert rows(e, "SELECT id FROM p ORDER BY id DESC LIMIT 3") == [(999,), (998,), (997,)]
+    assert rows(e, "SELECT id FROM p WHERE 250 <= id AND id < 253") == [(250,), (251,), (252,)]
+    assert rows(e, "SELECT COUNT(*) FROM p WHERE id > 5000") == [(0,)]
+
+
+def test_compaction_rewrites_only_what_changes_touch(engine, monkeypatch):
+    e = engine
+    monkeypatch.setattr("quern.sources.tables.ROWS_A_FILE", 100)
+    e.execute("CREATE TABLE p (id int PRIMARY KEY, g int)")
+    e.insert_frame("p", e.spark.range(1000).selectExpr("id * 2 AS id", "id % 7 AS g"))
+    e.execute("ADMIN COMPACT")
+    t = e.managed("p")
+    before = {f.path for f in e.storage.files(t)}
+    for i in range(10):
+        e.execute(f"UPDATE p SET g = 100 WHERE id = {400 + 2 * i}" if i % 2 else f"INSERT INTO p VALUES ({401 + 2 * i}, 200)")
+    e.execute("DELETE FROM p WHERE id = 440")
+    assert not [d for d in t.deltas if d[0] <= t.base] and len(t.deltas) < 3
+    after = {f.path for f in e.storage.files(t)}
+    assert len(before & after) >= 8
+    want = {2 * i: i % 7 for i in range(1000)}
+    want |= {400 + 2 * i: 100 for i in range(1, 10, 2)} | {401 + 2 * i: 200 for i in range(0, 10, 2)}
+    del want[440]
+    assert dict(rows(e, "SELECT * FROM p")) == want
+    assert rows(e, "SELECT * FROM p WHERE id >= 403 AND id <= 405") == [(r, want[r]) for r in (404, 405)]
+    e.execute("ADMIN COMPACT")
+    e.storage.vacuum(t)
+    assert dict(rows(e, "SELECT * FROM p")) == want and sum(f.rows for f in e.storage.files(t)) == len(want)
+    e.execute("DELETE FROM p")
+    e.execute("ADMIN COMPACT")
+    assert rows(e, "SELECT COUNT(*) FROM p") == [(0,)] and rows(e, "SELECT id FROM p ORDER BY id LIMIT 2") == []
+
+
+def test_keys_of_all_kinds_prune(engine, monkeypatch):
+    e = engine
+    monkeypatch.setattr("quern.sources.tables.ROWS_A_FILE", 5)
+    t0 = datetime(2024, 1, 1)
+    made = {"timestamp": [t0 + timedelta(hours=h) for h in range(20)], "string": [f"k{h:02}" for h in range(20)], "float": [float(h) for h in range(19)] + [float("nan")]}
+    asked = {"timestamp": "k >= '2024-01-01T07:00:00Z' AND k < '2024-01-01T09:00:00+00:00'", "string": "k >= 'k07' AND k < 'k09'", "float": "k >= 7 AND k < 9.0"}
+    for kind, keys in made.items():
+        e.execute(f"CREATE TABLE {kind}s (k {kind} PRIMARY KEY, n int)")
+        spark_kind = {"float": "double"}.get(kind, kind)
+        e.insert_frame(f"{kind}s", e.spark.createDataFrame([(k, i) for i, k in enumerate(keys)], f"k {spark_kind}, n long"))
+        e.execute("ADMIN COMPACT")
+        got = e.sql(f"SELECT n FROM {kind}s WHERE {asked[kind]}")
+        assert sorted(r[0] for r in got.collect()) == [7, 8] and opened(got) < 4, kind
+        assert [r[0] for r in e.sql(f"SELECT n FROM {kind}s ORDER BY k DESC LIMIT 2").collect()] == [19, 18]
+
+
+def test_latencies_are_those_of_rows(engine):
+    engine.execute("CREATE TABLE t (id int PRIMARY KEY)")
+    engine.slow_seconds = 0.0
+    engine.rows("SELECT COUNT(*) FROM t WHERE id > 1")
+    engine.sql("SELECT id FROM t GROUP BY id")
+    assert "agg" in engine.metrics.count and "group" not in engine.metrics.count
+    assert engine.slow[-1][2].startswith("SELECT COUNT")
+
+
+def test_indexes_act_at_once(engine):
+    e = engine
+    e.execute("CREATE TABLE t (id int PRIMARY KEY, v string)")
+    e.insert_frame("t", e.spark.range(50).selectExpr("id", "concat('v', id) AS v"))
+    e.execute("ADMIN COMPACT")
+    before = {f.path for f in e.storage.files(e.managed("t"))}
+    e.execute("CREATE INDEX i ON t (v)")
+    assert not before & {f.path for f in e.storage.files(e.managed("t"))}
+    assert rows(e, "SELECT id FROM t WHERE v = 'v7'") == [(7,)]
