@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -12,7 +13,10 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.session import Engine
+from quern.errors import AnalysisError, Unsupported
+from quern.operators.kv import RevisionRegress
+from quern.session import CommandResult, Engine
+from quern.streaming import tail as streaming
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 
@@ -32,8 +36,10 @@ SELECTS: dict[str, tuple[str, str | None]] = {
     "filter_int_truth": ("SELECT COUNT(*) AS c FROM lineitem WHERE l_linenumber - 1", "SELECT count(*) AS c FROM lineitem WHERE l_linenumber <> 1"),
     "filter_display_compare": ("SELECT COUNT(*) AS c FROM part WHERE p_size < '3'", "SELECT count(*) AS c FROM part WHERE p_size::varchar < '3'"),
     "filter_null_logic": ("SELECT COUNT(*) AS c FROM events WHERE event_type = 'click' OR NULL", "SELECT count(*) AS c FROM events WHERE event_type = 'click'"),
+    "null_and": ("SELECT COUNT(*) AS c, COUNT_IF(NOT (event_type = 'click' AND NULL)) AS n FROM events WHERE NOT (event_type = 'click' AND NULL)", "SELECT count(*) AS c, count(*) AS n FROM events WHERE event_type <> 'click'"),
+    "null_not": ("SELECT COUNT_IF(NOT NULL) AS a, COUNT_IF(NULL OR user_id > 5) AS b, COUNT_IF(NOT (NULL OR user_id > 5)) AS c FROM events", "SELECT 0::bigint AS a, count(*) FILTER (user_id > 5) AS b, 0::bigint AS c FROM events"),
     "like_prefix": ("SELECT p_partkey, p_name FROM part WHERE p_name LIKE 'b%'", None),
-    "like_infix": ("SELECT p_partkey, p_name FROM part WHERE p_name LIKE '%ee%'", None),
+    "like_infix": ("SELECT p_partkey, p_name FROM part WHERE p_name LIKE '%ll g%'", None),
     "like_underscore": ("SELECT event_id FROM events WHERE event_type LIKE '_rr_r'", None),
     "not_like": ("SELECT event_id, event_type FROM events WHERE event_type NOT LIKE 'c%'", None),
     "like_number": ("SELECT COUNT(*) AS c FROM orders WHERE o_orderkey LIKE '1%7'", "SELECT count(*) AS c FROM orders WHERE o_orderkey::varchar LIKE '1%7'"),
@@ -56,7 +62,8 @@ SELECTS: dict[str, tuple[str, str | None]] = {
     "group_expr_bucket": ("SELECT time_bucket('1d', ts) AS b, COUNT(*) AS c FROM events GROUP BY time_bucket('1d', ts)", "SELECT time_bucket(INTERVAL '1 day', ts, TIMESTAMP '0001-01-01') AS b, count(*) AS c FROM events GROUP BY 1"),
     "group_no_agg": ("SELECT o_orderstatus FROM orders GROUP BY o_orderstatus", None),
     "group_ordinal_alias": ("SELECT user_id / 10 AS tens, COUNT(*) AS c FROM events GROUP BY tens ORDER BY 2 DESC, 1 LIMIT 5", "SELECT user_id // 10 AS tens, count(*) AS c FROM events GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5"),
-    "group_first_value": ("SELECT n_regionkey, COUNT(*) AS c, MAX(n_name) AS m FROM nation GROUP BY n_regionkey", None),
+    "group_first_value": ("SELECT user_id, event_type, upper(event_type) AS u, COUNT(*) AS c FROM events WHERE event_type = 'click' GROUP BY user_id", "SELECT user_id, 'click' AS event_type, 'CLICK' AS u, count(*) AS c FROM events WHERE event_type = 'click' GROUP BY user_id"),
+    "having_without_alias": ("SELECT event_type FROM events GROUP BY event_type HAVING SUM(user_id) / COUNT(*) > 10 ORDER BY MAX(value) DESC", "SELECT event_type FROM events GROUP BY event_type HAVING sum(user_id) // count(*) > 10"),
     "having": ("SELECT user_id, COUNT(*) AS c FROM events GROUP BY user_id HAVING COUNT(*) > 12 AND user_id <> 3", None),
     "having_alias": ("SELECT c_nationkey, COUNT(*) AS c FROM customer GROUP BY c_nationkey HAVING c >= 60", "SELECT c_nationkey, count(*) AS c FROM customer GROUP BY c_nationkey HAVING count(*) >= 60"),
     "order_limit_pk_desc": ("SELECT event_id, event_type FROM events ORDER BY event_id DESC LIMIT 10", None),
@@ -97,6 +104,8 @@ def own_engine(spark: SparkSession, now: datetime | None = None) -> Engine:
     """An engine with an empty folder that all executors see."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         own = tempfile.mkdtemp(prefix="quern-")
         atexit.register(shutil.rmtree, own, True)
         root = f"file://{own}"
@@ -136,29 +145,229 @@ def _kv(spark: SparkSession, sf_dir: str) -> Engine:
 
 
 def kv_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _kv(spark, sf_dir).sql("KV SCAN n 'C' 'K'")
+    return _kv(spark, sf_dir).sql("KV SCAN n 'NATION_1' 'NATION_3'")
 
 
 def kv_get(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _kv(spark, sf_dir).sql("KV GET n 'FRANCE'")
+    return _kv(spark, sf_dir).sql("KV GET n 'NATION_7'")
 
 
 def kv_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _kv(spark, sf_dir).kv("n").prefix("I")
+    return _kv(spark, sf_dir).kv("n").prefix("NATION_2")
+
+
+def kv_reverse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _kv(spark, sf_dir).kv("n").range("NATION_1", "NATION_9", reverse=True, limit=6)
+
+
+def _outcomes(spark: SparkSession, *rows: tuple[str, object]) -> DataFrame:
+    return spark.createDataFrame([(k, str(v)) for k, v in rows], "step string, outcome string")
+
+
+def kv_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, batches at given revisions, compare-and-swap, leases and snapshot handles, step by step."""
+    store = _kv(spark, sf_dir).kv("n")
+    then = store.snapshot()
+    swaps = [store.compare_and_swap("NATION_1", "r9", "x"), store.compare_and_swap("NATION_1", "r1", "x"), store.compare_and_swap("new", None, "y"), store.compare_and_swap("new", None, "z")]
+    at = store.revision + 10
+    applied = store.apply([("put", "a", "1"), ("delete", "NATION_2", None), ("put", "a", "2")], at) == at
+    try:
+        store.apply([("put", "b", "1")], at)
+        regress = "applied"
+    except RevisionRegress:
+        regress = "refused"
+    lease, longer = store.grant(5, now=100.0), store.grant(50, now=100.0)
+    expired = [store.expired(now=104.0), store.expired(now=105.0) == [lease], store.revoke(longer), store.revoke(longer)]
+    return _outcomes(
+        spark, ("count all", store.count()), ("count range", store.count("NATION_1", "NATION_2")), ("swaps", swaps), ("applied", applied), ("regress", regress), ("a", store.get("a")), ("gone", store.get("NATION_2")),
+        ("snapshot get", then.get("NATION_1")), ("snapshot rows", then.range().count()), ("leases", expired), ("delete missing", store.delete("nosuch")), ("delete", store.delete("a")),
+    )
+
+
+def kv_watch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream of changes to keys with a prefix, written out as far as it goes."""
+    e = _kv(spark, sf_dir)
+    e.execute("KV PUT n 'NATION_1' 'changed'")
+    e.execute("KV DELETE n 'NATION_10'")
+    e.execute("KV PUT n 'other' 'changed'")
+    path = f"{e.catalog.root}/watched"
+    stream = e.watch("n", "NATION_1").writeStream.format("parquet").option("path", path).option("checkpointLocation", f"{path}-at").trigger(availableNow=True).start()
+    stream.awaitTermination()
+    return spark.read.parquet(path).select("key", "value", "is_delete")
+
+
+def change_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Changes to a table as a stream: what was written and deleted, by statement."""
+    e = _events(spark, sf_dir)
+    e.execute("DELETE FROM ev WHERE event_type = 'error'")
+    e.execute("UPDATE ev SET user_id = 0 WHERE event_type = 'click'")
+    path = f"{e.catalog.root}/changes"
+    stream = e.changes("ev").writeStream.format("parquet").option("path", path).option("checkpointLocation", f"{path}-at").trigger(availableNow=True).start()
+    stream.awaitTermination()
+    return spark.read.parquet(path).groupBy(F.col("_op").alias("op"), F.coalesce(F.array_join("_set", ","), F.lit("*")).alias("sets")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def stream_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hourly counts of a stream, with a watermark, as far as windows are complete or the stream ends."""
+    e = own_engine(spark)
+    source = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    events = spark.readStream.schema(source).parquet(f"{sf_dir}/events.parquet*").withColumn("ts", F.col("ts").cast("timestamp"))
+    name = f"buckets_{uuid.uuid4().hex}"
+    stream = streaming.bucket_counts(events, "ts", "1 hour", "10 minutes", "event_type").writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", f"{e.catalog.root}/{name}").trigger(availableNow=True).start()
+    stream.awaitTermination()
+    return spark.table(name)
+
+
+def live_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames of a tail: the same query before and after a change."""
+    e = _events(spark, sf_dir)
+    out = []
+    for k, frame in enumerate(e.tail("SELECT event_type, COUNT(*) AS c FROM ev GROUP BY event_type", interval=0, frames=2)):
+        out += [(k, r["event_type"], r["c"]) for r in frame]
+        if not k:
+            e.execute("DELETE FROM ev WHERE user_id < 50")
+    return spark.createDataFrame(out, "frame int, event_type string, c long")
+
+
+def affected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many rows statements say that they change."""
+    e = _events(spark, sf_dir)
+    steps = ["INSERT INTO ev (event_id) VALUES (-1), (-2), (-1)", "UPDATE ev SET value = 0.0 WHERE event_type = 'click'", "UPDATE ev SET event_id = event_id + 1000000 WHERE event_id >= 0 AND event_id < 10", "DELETE FROM ev WHERE user_id >= 100", "DELETE FROM ev WHERE event_id = -99", "DELETE FROM ev"]
+    return spark.createDataFrame([(k, s.split(" ")[0], e.execute(s).affected) for k, s in enumerate(steps)], "step int, tag string, n long")
+
+
+def replayed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same statements twice: keyed writes leave the same rows."""
+    e = _events(spark, sf_dir)
+    for _ in range(2):
+        e.run_script("INSERT INTO ev VALUES (1, 5, 'new', 0.5); DELETE FROM ev WHERE event_type = 'error'; UPDATE ev SET value = 2.0 WHERE event_type = 'view'")
+    return e.sql("SELECT * FROM ev")
+
+
+def indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A predicate on an indexed column, also after changes and once the index is gone."""
+    e = _events(spark, sf_dir)
+    e.execute("CREATE INDEX IF NOT EXISTS by_user ON ev (user_id)")
+    e.execute("INSERT INTO ev VALUES (-5, 7, 'new', 1.0)")
+    found = e.sql("SELECT event_id, 1 AS held FROM ev WHERE user_id = 7").collect()
+    e.execute("DROP INDEX by_user ON ev")
+    found += e.sql("SELECT event_id, 0 AS held FROM ev WHERE user_id = 7").collect()
+    return spark.createDataFrame(found, "event_id long, held long")
+
+
+def definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CREATE and DROP of tables, indexes and databases, transactions, node commands and errors: what each says."""
+    e = own_engine(spark)
+    steps = [
+        "CREATE DATABASE d", "BEGIN", "CREATE TABLE t (id int PRIMARY KEY, v string NOT NULL)", "CREATE TABLE t (id int PRIMARY KEY)", "CREATE TABLE IF NOT EXISTS t (id int PRIMARY KEY)", "CREATE INDEX i ON t (v)", "CREATE INDEX i ON t (v)",
+        "CREATE INDEX j ON t (nosuch)", "INSERT INTO t VALUES (1, 'a')", "INSERT INTO t VALUES (2, NULL)", "INSERT INTO t VALUES (NULL, 'a')", "INSERT INTO t (v) VALUES ('zero')", "UPDATE t SET id = NULL", "SELECT nosuch(v) FROM t", "SELECT v FROM nosuch",
+        "ADMIN SPLIT TABLE t AT 1", "ADMIN JOIN n1", "ADMIN PEERS", "ADMIN NONSENSE", "COMMIT", "ROLLBACK", "DROP INDEX i ON t", "DROP INDEX i ON t", "DROP TABLE t", "DROP TABLE t", "DROP TABLE IF EXISTS t",
+    ]
+
+    def said(statement: str) -> str:
+        try:
+            out = e.execute(statement)
+            return f"{out.tag} {out.affected}" if isinstance(out, CommandResult) else "rows"
+        except Unsupported:
+            return "unsupported"
+        except AnalysisError:
+            return "error"
+
+    return spark.createDataFrame([(k, said(x)) for k, x in enumerate(steps)], "step int, said string")
+
+
+def ingested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of JSON, and of a script, beside a table's own."""
+    e = own_engine(spark)
+    e.execute("CREATE TABLE n (n_nationkey int PRIMARY KEY, n_name string, seen timestamp, big bool)")
+    rows = spark.read.parquet(f"{sf_dir}/nation.parquet").collect()  # 25 rows
+    e.ingest("n", [{"n_nationkey": r["n_nationkey"], "N_NAME": r["n_name"], "seen": "2024-01-01T00:00:00Z", "big": r["n_regionkey"] > 2} for r in rows])
+    e.ingest("n", [{"n_nationkey": "3", "n_name": "again"}])
+    path = f"{e.catalog.root}/script.sql"
+    e.catalog.files.write(path, "INSERT INTO n VALUES (100, 'a;b', '2024-02-03T04:05:06Z', TRUE);\nUPDATE n SET big = NULL WHERE n_nationkey < 2;")
+    e.run_file(path)
+    return e.sql("SELECT n_nationkey, n_name, CAST(seen AS string) AS seen, big FROM n")
+
+
+def admin_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ADMIN TABLES and SHARDS after a compaction and a split."""
+    e = _events(spark, sf_dir)
+    e.execute("ADMIN SPLIT TABLE ev AT 500")
+    e.execute("DELETE FROM ev WHERE event_id = 3")
+    shards = e.sql("ADMIN SHARDS ev").select(F.concat(F.lit("shard "), "start", F.lit(" "), "end").alias("what"), F.col("n_rows").alias("n"))
+    tables = e.sql("ADMIN TABLES").select(F.concat_ws(" ", F.lit("table"), "name", "engine", "key", F.col("deltas").cast("string")).alias("what"), F.col("base_rows").alias("n"))
+    return shards.union(tables)
+
+
+def metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of measured statements by class, from the table and from the text for Prometheus."""
+    e = _events(spark, sf_dir)
+    for sql in ("SELECT COUNT(*) FROM ev WHERE user_id > 3", "SELECT event_type, COUNT(*) FROM ev GROUP BY event_type", "SELECT * FROM ev WHERE event_id = 3", "SELECT * FROM ev WHERE event_id = 4", "SELECT event_id FROM ev ORDER BY value LIMIT 1"):
+        e.rows(sql)
+    e.execute("DELETE FROM ev WHERE event_id = 3")
+    table = e.sql("ADMIN METRICS").where("class <> 'admin' AND mean > 0 AND p50 <= p99").select("class", F.lit("table").alias("source"), "count")
+    text = [(m[1], "text", int(m[2])) for m in re.finditer(r'_count\{class="(\w+)"\} (\d+)', e.metrics.prometheus()) if m[1] != "admin"]
+    return table.union(spark.createDataFrame(text, "class string, source string, count long"))
+
+
+def dashboards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dashboards saved, changed and deleted; widgets' rows come from the cache while fresh."""
+    e = _events(spark, sf_dir)
+    for i in ("a", "b", "c"):
+        e.save_dashboard(i, f"name {i}", {"widgets": [i]})
+    e.save_dashboard("b", "renamed", {"widgets": []})
+    e.delete_dashboard("c")
+    sql = "SELECT COUNT(*) AS c FROM ev WHERE event_type = 'error'"
+    before = e.widget(sql)[0]["c"]
+    e.execute("DELETE FROM ev WHERE event_type = 'error'")
+    stale = e.widget(sql)[0]["c"]
+    e.cache.held.clear()
+    out = [(d["id"], d["name"], len(d["config"]["widgets"])) for d in e.dashboards()]
+    return spark.createDataFrame([*out, ("before", "", before), ("stale", "", stale), ("fresh", "", e.widget(sql)[0]["c"]), ("hits", "", e.cache.hits)], "id string, name string, n long")
+
+
+def clock(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """now() and unixepoch() of an engine whose clock is fixed."""
+    e = own_engine(spark, datetime(2024, 1, 15, 12))
+    e.register_parquet("events", f"{sf_dir}/events.parquet")
+    return e.sql("SELECT COUNT(*) AS c, unixepoch() AS s, CAST(now() AS string) AS t FROM events WHERE ts < now()")
+
+
+def pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bounded reads and last rows of a table of several base files, with changes and without."""
+    e = _events(spark, sf_dir)
+    for at in (100, 300, 700):
+        e.execute(f"ADMIN SPLIT TABLE ev AT {at}")
+    out = e.sql("SELECT event_id, 'last' AS part FROM ev ORDER BY event_id DESC LIMIT 5").collect()
+    out += e.sql("SELECT event_id, 'range' AS part FROM ev WHERE event_id >= 98 AND 303 > event_id").collect()
+    e.execute("DELETE FROM ev WHERE event_id >= 290 AND event_id < 310")
+    e.execute("INSERT INTO ev (event_id) VALUES (295)")
+    out += e.sql("SELECT event_id, 'changed' AS part FROM ev WHERE event_id > 285 AND event_id <= 312").collect()
+    return spark.createDataFrame(out, "event_id long, part string")
+
+
+def key_of_two(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table keyed by two columns, whose later rows take the place of earlier ones."""
+    e = own_engine(spark)
+    e.execute("CREATE TABLE o (o_custkey int, o_orderkey int, total float, PRIMARY KEY (o_custkey, o_orderkey))")
+    e.insert_frame("o", spark.read.parquet(f"{sf_dir}/orders.parquet").selectExpr("o_custkey", "o_orderkey", "o_totalprice AS total"))
+    e.execute("ADMIN COMPACT")
+    e.execute("UPDATE o SET total = -1.0 WHERE o_custkey = 7")
+    return e.sql("SELECT * FROM o WHERE o_custkey >= 5 AND o_custkey < 50")
 
 
 def mvcc_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _kv(spark, sf_dir)
     store = e.kv("n")
     then = store.revision
-    e.execute("KV PUT n 'FRANCE' 'changed'")
-    e.execute("KV DELETE n 'JAPAN'")
+    e.execute("KV PUT n 'NATION_6' 'changed'")
+    e.execute("KV DELETE n 'NATION_12'")
     return store.range(revision=then).withColumnRenamed("value", "then").join(store.range().withColumnRenamed("value", "now"), "key", "left")
 
 
 def kv_compacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _kv(spark, sf_dir)
-    e.execute("KV DELETE n 'CHINA'")
+    e.execute("KV DELETE n 'NATION_18'")
     store = e.kv("n")
     store.compact(store.revision)
     e.execute("KV PUT n 'ATLANTIS' 'r9'")
@@ -215,11 +424,54 @@ CHANGES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "delete_range": (_mutated("DELETE FROM ev WHERE event_id >= 10 AND event_id < 500"), f"{_EV} WHERE NOT (event_id >= 10 AND event_id < 500)"),
     "delete_scan": (_mutated("DELETE FROM ev WHERE event_type LIKE 'e%' OR value > 50"), f"{_EV} WHERE NOT (event_type LIKE 'e%' OR value > 50)"),
     "delete_reinsert": (_mutated("UPDATE ev SET value = -1.0 WHERE event_id < 20", "DELETE FROM ev WHERE event_id < 20", "INSERT INTO ev (event_id, event_type) VALUES (3, 'back')", "UPDATE ev SET user_id = 9 WHERE event_id = 3"), f"{_EV} WHERE event_id >= 20 UNION ALL SELECT 3, 9, 'back', 0.0"),
-    "kv_scan": (kv_scan, "SELECT n_name AS key, 'r' || n_regionkey AS value FROM nation WHERE n_name >= 'C' AND n_name < 'K'"),
-    "kv_get": (kv_get, "SELECT n_name AS key, 'r' || n_regionkey AS value FROM nation WHERE n_name = 'FRANCE'"),
-    "kv_prefix": (kv_prefix, "SELECT n_name AS key, 'r' || n_regionkey AS value FROM nation WHERE n_name LIKE 'I%'"),
-    "kv_compacted": (kv_compacted, "SELECT n_name AS key, 'r' || n_regionkey AS value FROM nation WHERE n_name <> 'CHINA' UNION ALL SELECT 'ATLANTIS', 'r9'"),
-    "mvcc_as_of": (mvcc_as_of, "SELECT n_name AS key, 'r' || n_regionkey AS then, CASE n_name WHEN 'FRANCE' THEN 'changed' WHEN 'JAPAN' THEN NULL ELSE 'r' || n_regionkey END AS now FROM nation"),
+    "kv_scan": (kv_scan, "SELECT n_name AS key, 'r' || n_regionkey AS value FROM nation WHERE n_name >= 'NATION_1' AND n_name < 'NATION_3'"),
+    "kv_get": (kv_get, "SELECT n_name AS key, 'r' || n_regionkey AS value FROM nation WHERE n_name = 'NATION_7'"),
+    "kv_prefix": (kv_prefix, "SELECT n_name AS key, 'r' || n_regionkey AS value FROM nation WHERE n_name LIKE 'NATION_2%'"),
+    "kv_reverse": (kv_reverse, "SELECT n_name AS key, 'r' || n_regionkey AS value FROM nation WHERE n_name >= 'NATION_1' AND n_name < 'NATION_9' ORDER BY n_name DESC LIMIT 6"),
+    "kv_steps": (
+        kv_steps,
+        """SELECT * FROM (VALUES ('swaps', '[False, True, True, False]'), ('applied', 'True'), ('regress', 'refused'), ('a', '2'), ('gone', 'None'), ('snapshot get', 'r1'),
+        ('leases', '[[], True, True, False]'), ('delete missing', '0'), ('delete', '1')) t(step, outcome)
+        UNION ALL SELECT 'count all', (count(*) + 1)::varchar FROM nation UNION ALL SELECT 'snapshot rows', count(*)::varchar FROM nation
+        UNION ALL SELECT 'count range', count(*)::varchar FROM nation WHERE n_name >= 'NATION_1' AND n_name < 'NATION_2'""",
+    ),
+    "kv_watch": (kv_watch, "SELECT n_name AS key, 'r' || n_regionkey AS value, false AS is_delete FROM nation WHERE n_name LIKE 'NATION_1%' UNION ALL SELECT 'NATION_1', 'changed', false UNION ALL SELECT 'NATION_10', NULL, true"),
+    "change_feed": (change_feed, "SELECT 'U' AS op, '*' AS sets, count(*) AS n FROM events UNION ALL SELECT 'D', '*', count(*) FROM events WHERE event_type = 'error' UNION ALL SELECT 'U', 'user_id', count(*) FROM events WHERE event_type = 'click'"),
+    "stream_buckets": (stream_buckets, "SELECT time_bucket(INTERVAL '1 hour', ts) AS bucket, event_type, count(*) AS n FROM events GROUP BY 1, 2"),
+    "live_tail": (live_tail, "SELECT 0 AS frame, event_type, count(*) AS c FROM events GROUP BY event_type UNION ALL SELECT 1, event_type, count(*) FROM events WHERE user_id >= 50 GROUP BY event_type"),
+    "affected": (
+        affected,
+        """SELECT 0 AS step, 'INSERT' AS tag, 3::bigint AS n UNION ALL SELECT 1, 'UPDATE', count(*) FROM events WHERE event_type = 'click' UNION ALL SELECT 2, 'UPDATE', count(*) FROM events WHERE event_id >= 0 AND event_id < 10
+        UNION ALL SELECT 3, 'DELETE', count(*) FROM events WHERE user_id >= 100 UNION ALL SELECT 4, 'DELETE', 0 UNION ALL SELECT 5, 'DELETE', count(*) + 2 FROM events WHERE user_id < 100""",
+    ),
+    "replayed": (replayed, "SELECT event_id, CASE event_id WHEN 1 THEN 5 ELSE user_id END AS user_id, CASE event_id WHEN 1 THEN 'new' ELSE event_type END AS event_type, CASE WHEN event_id = 1 THEN 0.5 WHEN event_type = 'view' THEN 2.0 ELSE value END AS value FROM events WHERE event_type <> 'error' OR event_id = 1"),
+    "indexed": (indexed, "SELECT event_id, held FROM (SELECT event_id FROM events WHERE user_id = 7 UNION ALL SELECT -5), (VALUES (0::bigint), (1)) t(held)"),
+    "definitions": (
+        definitions,
+        """SELECT (row_number() OVER () - 1)::int AS step, said FROM (SELECT unnest(['CREATE DATABASE 0', 'BEGIN 0', 'CREATE TABLE 0', 'error', 'CREATE TABLE 0', 'CREATE INDEX 0', 'error', 'error', 'INSERT 1', 'error', 'error', 'INSERT 1',
+        'error', 'error', 'error', 'ADMIN 2', 'unsupported', 'unsupported', 'error', 'COMMIT 0', 'ROLLBACK 0', 'DROP INDEX 0', 'error', 'DROP TABLE 0', 'error', 'DROP TABLE 0']) AS said)""",
+    ),
+    "ingested": (
+        ingested,
+        """SELECT n_nationkey::bigint AS n_nationkey, CASE n_nationkey WHEN 3 THEN 'again' ELSE n_name END AS n_name, CASE n_nationkey WHEN 3 THEN NULL ELSE '2024-01-01T00:00:00Z' END AS seen,
+        CASE WHEN n_nationkey = 3 THEN false WHEN n_nationkey < 2 THEN NULL ELSE n_regionkey > 2 END AS big FROM nation UNION ALL SELECT 100, 'a;b', '2024-02-03T04:05:06Z', true""",
+    ),
+    "admin_views": (
+        admin_views,
+        """SELECT 'shard ' || min(event_id) || ' ' || max(event_id) AS what, count(*) AS n FROM events GROUP BY event_id >= 500
+        UNION ALL SELECT 'table ev CSTORE2 event_id 1', count(*) FROM events""",
+    ),
+    "metrics": (metrics, "SELECT class, source, n::bigint AS count FROM (VALUES ('agg', 1), ('group', 1), ('point', 2), ('order', 1), ('delete', 1), ('createtable', 1)) a(class, n), (VALUES ('table'), ('text')) b(source)"),
+    "dashboards": (dashboards, "SELECT * FROM (VALUES ('a', 'name a', 1::bigint), ('b', 'renamed', 0), ('fresh', '', 0), ('hits', '', 1)) t(id, name, n) UNION ALL SELECT s, '', count(*) FROM events, (VALUES ('before'), ('stale')) x(s) WHERE event_type = 'error' GROUP BY s"),
+    "clock": (clock, "SELECT count(*) AS c, 1705320000::bigint AS s, '2024-01-15T12:00:00Z' AS t FROM events WHERE ts < TIMESTAMP '2024-01-15 12:00:00'"),
+    "pruned": (
+        pruned,
+        """(SELECT event_id, 'last' AS part FROM events ORDER BY event_id DESC LIMIT 5) UNION ALL SELECT event_id, 'range' FROM events WHERE event_id >= 98 AND event_id < 303
+        UNION ALL SELECT event_id, 'changed' FROM events WHERE event_id > 285 AND event_id <= 312 AND NOT (event_id >= 290 AND event_id < 310) UNION ALL SELECT 295, 'changed'""",
+    ),
+    "key_of_two": (key_of_two, "SELECT o_custkey, o_orderkey, CASE o_custkey WHEN 7 THEN -1.0 ELSE o_totalprice END AS total FROM orders WHERE o_custkey >= 5 AND o_custkey < 50"),
+    "kv_compacted": (kv_compacted, "SELECT n_name AS key, 'r' || n_regionkey AS value FROM nation WHERE n_name <> 'NATION_18' UNION ALL SELECT 'ATLANTIS', 'r9'"),
+    "mvcc_as_of": (mvcc_as_of, "SELECT n_name AS key, 'r' || n_regionkey AS then, CASE n_name WHEN 'NATION_6' THEN 'changed' WHEN 'NATION_12' THEN NULL ELSE 'r' || n_regionkey END AS now FROM nation"),
     "ttl": (ttl, "SELECT ts, event_type FROM events WHERE ts >= TIMESTAMP '2024-01-10 00:00:00'"),
     "log_explorer_list": (log_explorer_list, "SELECT * FROM events WHERE ts >= TIMESTAMP '2024-01-02' AND ts < TIMESTAMP '2024-01-20' AND (event_type LIKE '%err%' OR props LIKE '%err%') ORDER BY ts DESC LIMIT 50"),
     "log_explorer_hist": (log_explorer_hist, "SELECT time_bucket(INTERVAL '6 hours', ts, TIMESTAMP '0001-01-01') AS bucket, count(*) AS n FROM events WHERE ts >= TIMESTAMP '2024-01-02' AND ts < TIMESTAMP '2024-01-20' AND (event_type LIKE '%err%' OR props LIKE '%err%') GROUP BY 1"),

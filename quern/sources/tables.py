@@ -211,7 +211,7 @@ class Storage:
             touched = [f for f in every if any(Bounds(d[3], d[4]).meet(f.low, f.high) for d in past)] if known and not whole else every
             rows = sum(f.rows for f in touched) + sum(d[1] for d in past)
             revision = max(d[0] for d in past)
-            self._replace(t, touched, self.view(t, revision, files=touched), rows, revision)
+            self._replace(t, touched, [self.view(t, revision, files=touched)], rows, revision)
             t.base = revision
             t.deltas = [d for d in t.deltas if d[0] > revision]
             self.catalog.save()
@@ -223,8 +223,8 @@ class Storage:
             self.compact(t)
             for f in [f for f in self.files(t) if f.low is not None and f.low < at <= f.high]:
                 first = plain_key(t, F.col(t.key[0]))
-                sides = self.base(t, files=[f]).withColumn("_side", (first >= F.lit(at)).cast("int"))
-                self._replace(t, [f], sides, f.rows, self.catalog.next_revision(), ["_side"])
+                held = self.base(t, files=[f])
+                self._replace(t, [f], [held.where(first < F.lit(at)), held.where(first >= F.lit(at))], f.rows, self.catalog.next_revision())
             self.catalog.save()
             return t.base_rows
 
@@ -232,17 +232,17 @@ class Storage:
         """Write all base files again, with what indexes now ask for."""
         with self.catalog.lock:
             if self.files(t):
-                self._replace(t, self.files(t), self.base(t), t.base_rows, self.catalog.next_revision())
-
-    def _replace(self, t: Table, old: list[BaseFile], rows: DataFrame, count: int, number: int, by: list[str] | None = None) -> None:
-        """Write rows as new base files in place of some others."""
-        files = max(1, -(-count // ROWS_A_FILE)) if not by else 2
-        out = rows.repartitionByRange(files, *(by or t.key)).sortWithinPartitions(*(by or []), *t.key)
-        writer = out.drop(*(by or [])).write.mode("overwrite")
-        for column in {*t.indexes.values(), *t.key}:
-            writer = writer.option(f"parquet.bloom.filter.enabled#{column}", "true")
+                self._replace(t, self.files(t), [self.base(t)], t.base_rows, self.catalog.next_revision())
+
+    def _replace(self, t: Table, old: list[BaseFile], parts: list[DataFrame], count: int, number: int) -> None:
+        """Write frames, which share no file, as new base files in place of some others."""
+        files = max(1, -(-count // ROWS_A_FILE))
         path = f"{self.folder(t)}/base/rev={number}"
-        writer.parquet(path)
+        for k, part in enumerate(parts):
+            writer = part.repartitionByRange(files, *t.key).sortWithinPartitions(*t.key).write.mode("append" if k else "overwrite")
+            for column in {*t.indexes.values(), *t.key}:
+                writer = writer.option(f"parquet.bloom.filter.enabled#{column}", "true")
+            writer.parquet(path)
         # Old files stay until vacuum(): readers may still use them.
         first = plain_key(t, F.col(t.key[0]))
         made = self.spark.read.schema(t.schema).parquet(path).groupBy(F.col("_metadata.file_path").alias("path")).agg(F.count(F.lit(1)).alias("rows"), F.min(first).alias("low"), F.max(first).alias("high"))
