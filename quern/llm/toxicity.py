@@ -294,15 +294,21 @@ def train(texts: list[str], toxic: list[int], rounds: int = 4) -> Model | None:
     few = LANDMARKS // 4
     bad_marks, common = spread(highest(known, margin, margin > 0), few, 0.45), spread(highest(known, clean.astype(float), clean > 0), few, 0.5)
     marks = landmarks_of(bad_marks, common)
-    short = [w[:LETTERS] for w in known] + [""] * DISGUISED  # with room for disguised words
-    x = marks.features(short)
+    pieces, first = [], []  # the windows that scoring sees; a word is as toxic as its worst one
+    for w in known:
+        first.append(len(pieces))
+        pieces += windows(w)
+    long_words = [(k, first[k], b) for k, b in enumerate([*first[1:], len(pieces)]) if b - first[k] > 1]
+    chosen = np.array(first)
+    pieces += [""] * DISGUISED  # room for disguised words
+    x = marks.features(pieces)
     weights, bias = np.zeros(x.shape[1], dtype=np.float32), 0.0
     for k in range(rounds):
         if k in (1, 2):  # what was mistaken for toxic so far gets landmarks of its own
             common = common + spread([w for w in highest(known, margin, clean > 0) if w not in common], few, 0.6)
             marks = landmarks_of(bad_marks, common)
             del x
-            x = marks.features(short)
+            x = marks.features(pieces)
         good, bad = [], []
         for sentences, is_bad in zip(bags, y, strict=True):
             worst = [s[np.argmax(margin[s])] for s in sentences]
@@ -318,10 +324,16 @@ def train(texts: list[str], toxic: list[int], rounds: int = 4) -> Model | None:
         # The words that count most as toxic count again with a letter put in.
         chief = np.argsort(-cost, kind="stable")[:DISGUISED]
         chief = chief[cost[chief] > 0]
-        x[len(known) : len(known) + len(chief)] = marks.features([disguise(known[k])[:LETTERS] for k in chief])
-        room = np.zeros(DISGUISED)
-        weights, bias = fit_svm(x, np.concatenate([cost, 0.3 * cost[chief], room[len(chief) :]]) * 7.0 * len(y), np.append(clean_cost, room) * 7.0 * len(y))
-        margin = x[: len(known)] @ weights + bias
+        room = len(pieces) - DISGUISED
+        x[room : room + len(chief)] = marks.features([disguise(known[k])[:LETTERS] for k in chief])
+        up, down = np.zeros(len(pieces)), np.zeros(len(pieces))
+        up[chosen], down[chosen] = cost, clean_cost
+        up[room : room + len(chief)] = 0.3 * cost[chief]
+        weights, bias = fit_svm(x, up * 7.0 * len(y), down * 7.0 * len(y))
+        of_pieces = x[:room] @ weights + bias
+        for k, a, b in long_words:
+            chosen[k] = a + int(np.argmax(of_pieces[a:b]))
+        margin = of_pieces[chosen]
     marks.weigh(weights)
     model = Model(marks, bias)
     worst = np.array([max((margin[s].max() for s in sentences), default=LOWEST) for sentences in bags])
@@ -337,7 +349,8 @@ def training_sample(docs: DataFrame, labels: DataFrame) -> tuple[list[str], list
         some = known.where(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(size)
         picked = some if picked is None else picked.union(some)
     texts = docs.select("doc_id", text_or_empty(F.col("text")).alias("text")).where(F.length("text") <= SAMPLE_CHARS)
-    rows = texts.join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
+    # Of an id's texts the first in order is read, so reruns train alike.
+    rows = texts.join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).orderBy("doc_id").collect()
     return [r["text"] for r in rows], [r["toxic"] for r in rows]
 
 
@@ -404,7 +417,11 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", t
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that are not predicted toxic, with their columns as they are."""
+    """The documents that are not predicted toxic, with their columns as they are.
+
+    Null texts are empty and stay, as do all rows if labels are missing for a class; rows
+    are judged one by one, so equal rows go or stay together.
+    """
     model = train(*training_sample(docs, labels))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

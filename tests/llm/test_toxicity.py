@@ -85,3 +85,18 @@ def test_frames(spark, docs, wide, no_docs, rows):
     none = tox.score_toxicity(docs, labels.where("toxic > 5"))
     assert none.count() == len(rows) and none.agg({"score": "max"}).first()[0] == 0
     assert tox.drop_toxic(docs, labels.where("toxic > 5")).count() == len(rows)
+
+
+def test_training_reads_one_text_of_an_id_and_ignores_other_columns(spark):
+    docs = spark.createDataFrame([(3, "b text", "x"), (3, "a text", "y"), (3, None, "z"), (4, "bad", "x"), (4, "bad", "x")], "doc_id long, text string, toxic string")
+    labels = spark.createDataFrame([(3, 0), (4, 1), (4, 0), (None, 1), (9, None)], "doc_id long, toxic int")
+    for n in (1, 7):
+        assert tox.training_sample(docs.repartition(n), labels) == (["", "bad"], [0, 1])
+    wide = docs.selectExpr("doc_id", "text", "'x' as toxic", "1 as margin", "2.0 as score", "true as held_out", "7 as text_hash")
+    assert tox.score_toxicity(wide, labels).columns == ["doc_id", "text_hash", "held_out", "score", "predicted", "margin"]
+    assert tox.score_toxicity(wide, labels).count() == 5
+
+
+def test_long_glued_words_are_learnt():
+    texts = [clean(k) + " " + clean(k + 7, 8).replace(" ", "") + "zgrubly" for k in range(40)] + [clean(900 + k) + " " + clean(k, 8).replace(" ", "") for k in range(80)]
+    assert tox.train(texts, [1] * 40 + [0] * 80).margins(["theanerzgrublyoninstreha"])[0] > 0
