@@ -1,17 +1,22 @@
 """Log-bilinear language model, trained by noise-contrastive estimation in numpy.
 
 Tokens are words by white space and one end a text. The model predicts a token's
-class from the one before it: a class is one of the most frequent words, the end, or
-a bin of rarer words with like endings. A context's vector times a class's vector,
-plus the class's bias, is the class's energy; batched matrix products over all
-contexts give the normalised log-probabilities. Within a bin a word has its smoothed
-share of the bin's counts, unseen words together half a count, so a text's
-probabilities are proper.
-
-All counts, of words and of pairs of classes, cover all training texts, and training
-uses all pairs at once. Frequent words are looked up in a table of bounded size; the
-others of each text are joined to the word counts by Spark. Words are told apart by
-64-bit hashes.
+class from the two before it: a class is one of the most frequent words, the end, or
+a bin of rarer words with like endings. Each place before the token has a matrix that
+turns a class's context vector; their sum times a class's vector, plus the class's
+bias, is the class's energy. Energies are sums of one term a place, so one product of
+two matrices gives the normaliser of all pairs of classes, and log-probabilities are
+normalised exactly. Within a bin a word has its smoothed share of the bin's counts,
+unseen words together half a count, so a text's probabilities are proper.
+
+All counts, of words and of pairs of classes, cover all training texts. Training has
+two steps. The first place's weights are fitted to the pairs' counts, with the noise's
+expectation instead of samples. Then each task goes on from there over all tokens of
+its texts, with both places and sampled noise, and the tasks' weights are averaged by
+their tokens, block by block on the executors. The number of frequent words that are
+classes grows with the root of the number of words. Other frequent words are looked up
+in a table of bounded size; the rest of each text are joined to the word counts by
+Spark. Words are told apart by 64-bit hashes.
 
 Null and empty texts are their end token alone; a null id is never held out. Rows are
 scored one by one, so ties and repeated rows score equally. Without training texts all
@@ -24,6 +29,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -32,10 +38,14 @@ from pyspark.sql import functions as F
 from quern.llm.common import LOWER, by_bytes, held_out, materialize, text_or_empty
 from quern.llm.simhash import word_spans, xxh64_many
 
-SHORTLIST, BINS = 512, 64
+#: Fewest and most words that are classes of their own, and bins of the others.
+SHORTLIST, BINS = (256, 1_024), 64
+PLACES = 2
 #: Words whose counts are sent to the executors; rarer ones are joined.
 FREQUENT = 1_000_000
-DIMENSIONS, NOISE, STEPS, RATE = 32, 10.0, 400, 0.05
+DIMENSIONS, NOISE, STEPS, RATE = 32, 10.0, 200, 0.05
+#: Of the second step: tokens and noise classes of a batch, the rate, and blocks and groups in which weights are averaged.
+BATCH, SAMPLES, SECOND_RATE, BLOCKS, GROUPS = 2_048, 64, 0.02, 64, 64
 TEXT_BYTES = 4 << 20
 
 
@@ -72,13 +82,19 @@ class Classes:
         at = np.minimum(np.searchsorted(self.shortlist, hashes), len(self.shortlist) - 1)
         return np.where(self.shortlist[at] == hashes, at, len(self.shortlist) + bins)
 
-    def with_ends(self, tokens: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Each token's class, ends included; the class before each; where each text begins."""
+    def with_ends(self, tokens: Tokens) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+        """Each token's class, ends included; the classes one and two before each; where each text begins."""
         n = np.diff(tokens.bounds)
         doc = np.repeat(np.arange(len(n)), n)
-        out = np.full(len(doc) + len(n), self.size - 1)
+        end, begins = self.size - 1, tokens.bounds[:-1] + np.arange(len(n))
+        out = np.full(len(doc) + len(n), end)
         out[np.arange(len(doc)) + doc] = self.of(tokens.hashes, tokens.bins)
-        return out, np.concatenate([[self.size - 1], out[:-1]])[: len(out)], tokens.bounds[:-1] + np.arange(len(n))
+        before = [np.concatenate([[end], out[:-1]])[: len(out)]]
+        for _ in range(PLACES - 1):
+            further = np.concatenate([[end], before[-1][:-1]])[: len(out)]
+            further[begins] = end
+            before.append(further)
+        return out, before, begins
 
 
 def count_words(texts: DataFrame) -> DataFrame:
@@ -118,7 +134,7 @@ def count_pairs(texts: DataFrame, classes: Classes) -> np.ndarray:
         total = np.zeros(size * size, dtype=np.int64)
         for _, some in by_bytes(batches, "text", TEXT_BYTES):
             now, before, _ = classes.with_ends(Tokens.of(some))
-            total += np.bincount(before * size + now, minlength=size * size)
+            total += np.bincount(before[0] * size + now, minlength=size * size)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["pair", "n"])
 
@@ -128,8 +144,41 @@ def count_pairs(texts: DataFrame, classes: Classes) -> np.ndarray:
     return out.reshape(size, size)
 
 
-def train(pairs: np.ndarray, steps: int = STEPS, seed: int = 0) -> np.ndarray:
-    """Normalised log10 probabilities (before, class) of a log-bilinear model of the pairs.
+@dataclass
+class Model:
+    """Context vectors, a matrix for each place before, class vectors and biases."""
+
+    words: np.ndarray
+    links: list[np.ndarray]
+    outputs: np.ndarray
+    bias: np.ndarray
+
+    def flat(self) -> np.ndarray:
+        return np.concatenate([x.ravel() for x in (self.words, *self.links, self.outputs, self.bias)]).astype(np.float32)
+
+    @classmethod
+    def of_flat(cls, x: np.ndarray, size: int) -> Model:
+        shapes = [(size, DIMENSIONS), *[(DIMENSIONS, DIMENSIONS)] * PLACES, (size, DIMENSIONS), (size,)]
+        ends = np.cumsum([int(np.prod(s)) for s in shapes])
+        words, *links, outputs, bias = (p.reshape(s).copy() for p, s in zip(np.split(x, ends[:-1]), shapes, strict=True))
+        return cls(words, links, outputs, bias)
+
+    def tables(self) -> tuple[list[np.ndarray], np.ndarray]:
+        """Per place the energies (class before, class), and the normaliser (first before, second before); in log10."""
+        terms = [(self.words.astype(np.float64) @ link) @ self.outputs.T.astype(np.float64) for link in self.links]
+        terms[0] = terms[0] + self.bias
+        tops = [t.max(1, keepdims=True) for t in terms]
+        first, second = (np.exp(t - top) for t, top in zip(terms, tops, strict=True))
+        total = np.log(first @ second.T) + tops[0] + tops[1].T
+        return [(t / np.log(10)).astype(np.float32) for t in terms], (total / np.log(10)).astype(np.float32)
+
+
+def noise_of(counts: np.ndarray) -> np.ndarray:
+    return (counts + 0.5) / (counts.sum() + 0.5 * len(counts))
+
+
+def train(pairs: np.ndarray, steps: int = STEPS, seed: int = 0) -> Model:
+    """A model of the pairs (before, class); further places begin as a weak echo of the first.
 
     Noise-contrastive estimation with NOISE unigram samples a pair; as all pairs are
     at hand, the noise's expectation takes the samples' place.
@@ -138,7 +187,7 @@ def train(pairs: np.ndarray, steps: int = STEPS, seed: int = 0) -> np.ndarray:
     rng = np.random.default_rng(seed)
     n = pairs.astype(np.float64)
     total = max(1.0, n.sum())
-    noise = (n.sum(0) + 0.5) / (n.sum() + 0.5 * size)
+    noise = noise_of(n.sum(0))
     context = n.sum(1)
     data, false = n / total, NOISE * np.outer(context, noise) / total
     log_noise = np.log(NOISE * noise)
@@ -159,9 +208,87 @@ def train(pairs: np.ndarray, steps: int = STEPS, seed: int = 0) -> np.ndarray:
             second[k] += 0.01 * (g * g - second[k])
             weights[k] -= rate * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-8)
     words, link, outputs, bias = weights
-    energy = (words @ link) @ outputs.T + bias
-    energy -= energy.max(1, keepdims=True)
-    return (energy - np.log(np.exp(energy).sum(1, keepdims=True))) / np.log(10)
+    return Model(words, [link * 0.1**k for k in range(PLACES)], outputs, bias)
+
+
+def summed(at: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct places, and the sum of values at each."""
+    order = np.argsort(at, kind="stable")
+    places = at[order]
+    first = np.flatnonzero(np.concatenate([[True], places[1:] != places[:-1]]))
+    return places[first], np.add.reduceat(values[order], first, axis=0)
+
+
+class Descent:
+    """Steps of noise-contrastive estimation over batches of tokens, by Adagrad; noise classes are drawn once a batch."""
+
+    def __init__(self, model: Model, noise: np.ndarray, seed: int) -> None:
+        self.model, self.rng, self.cumulated = model, np.random.default_rng(seed), np.cumsum(noise)
+        self.log_noise = np.log(SAMPLES * noise).astype(np.float32)
+        size = len(noise)
+        self.words, self.outputs, self.bias, self.links = np.ones(size, np.float32), np.ones(size, np.float32), np.ones(size, np.float32), [100.0] * PLACES
+
+    def learn(self, now: np.ndarray, before: list[np.ndarray]) -> None:
+        starts = range(0, len(now), BATCH)
+        for k in self.rng.permutation(len(starts)).tolist():
+            part = slice(starts[k], starts[k] + BATCH)
+            self.step(now[part], [b[part] for b in before])
+
+    def step(self, now: np.ndarray, before: list[np.ndarray]) -> None:
+        m = self.model
+        predicted = sum(m.words[b] @ link for b, link in zip(before, m.links, strict=True))
+        drawn = np.minimum(np.searchsorted(self.cumulated, self.rng.random(SAMPLES)), len(self.cumulated) - 1)
+        real, false = m.outputs[now], m.outputs[drawn]
+        up = 1 / (1 + np.exp(np.clip((predicted * real).sum(1) + m.bias[now] - self.log_noise[now], -30, 30)))
+        down = -1 / (1 + np.exp(-np.clip(predicted @ false.T + m.bias[drawn] - self.log_noise[drawn], -30, 30)))
+        back = up[:, None] * real + down @ false
+        both = np.concatenate([now, drawn])
+        at, outputs = summed(both, np.concatenate([up[:, None] * predicted, down.T @ predicted]))
+        _, bias = summed(both, np.concatenate([up, down.sum(0)]))
+        for k, b in enumerate(before):
+            where, words = summed(b, back @ m.links[k].T)
+            link = m.words[b].T @ back
+            self.words[where] += (words * words).mean(1)
+            self.links[k] += float((link * link).mean())
+            m.words[where] += SECOND_RATE * words / np.sqrt(self.words[where])[:, None]
+            m.links[k] += 0.3 * SECOND_RATE * link / self.links[k] ** 0.5
+        self.outputs[at] += (outputs * outputs).mean(1)
+        self.bias[at] += bias * bias
+        m.outputs[at] += SECOND_RATE * outputs / np.sqrt(self.outputs[at])[:, None]
+        m.bias[at] += SECOND_RATE * bias / np.sqrt(self.bias[at])
+
+
+def refine(texts: DataFrame, classes: Classes, model: Model, noise: np.ndarray) -> Model:
+    """The model after each task learnt from all its tokens; weights are averaged by the tasks' tokens."""
+    start = texts.sparkSession.sparkContext.broadcast(model.flat())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
+        descent, n = Descent(Model.of_flat(start.value, classes.size), noise, part), 0
+        for _, some in by_bytes(batches, "text", TEXT_BYTES):
+            now, before, _ = classes.with_ends(Tokens.of(some))
+            descent.learn(now, before)
+            n += len(now)
+        if n:
+            blocks = np.array_split(descent.model.flat().astype(np.float64) * n, BLOCKS)
+            columns = [pa.array(np.arange(BLOCKS, dtype=np.int32)), pa.array(np.full(BLOCKS, part % GROUPS, dtype=np.int32)), pa.array(np.full(BLOCKS, n)), pa.array([b.tobytes() for b in blocks], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["block", "part", "n", "weights"])
+
+    def total(rows: pd.DataFrame) -> pd.DataFrame:
+        weights = np.sum([np.frombuffer(w) for w in rows["weights"]], axis=0)
+        return pd.DataFrame({"block": rows["block"].iloc[:1], "part": [0], "n": [rows["n"].sum()], "weights": [weights.tobytes()]})
+
+    schema = "block int, part int, n long, weights binary"
+    learnt = texts.mapInArrow(run, schema).groupBy("block", "part").applyInPandas(total, schema).groupBy("block").applyInPandas(total, schema).toArrow().to_pylist()
+    if not learnt:
+        return model
+    return Model.of_flat(np.concatenate([np.frombuffer(r["weights"]) / r["n"] for r in sorted(learnt, key=lambda r: r["block"])]), classes.size)
+
+
+def shortlist_size(types: int) -> int:
+    """The root of the number of words, as a power of two within bounds."""
+    least, most = SHORTLIST
+    return min(most, max(least, 1 << int(np.log2(max(1, types)) / 2)))
 
 
 def columns_of(words: DataFrame) -> list[np.ndarray]:
@@ -193,25 +320,27 @@ def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     texts = int(counts.where("bin < 0").agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0])
     sums = words.groupBy("bin").agg(F.count(F.lit(1)).alias("v"), F.sum("c").alias("c")).toArrow().to_pydict()
     types, total = sum(sums["v"]) + (texts > 0), sum(sums["c"]) + texts
-    best_hash, best_bin, best_count = columns_of(words.orderBy(F.desc("c"), "hash").limit(SHORTLIST))
+    best_hash, best_bin, best_count = columns_of(words.orderBy(F.desc("c"), "hash").limit(shortlist_size(sum(sums["v"]))))
     classes = Classes(np.sort(best_hash))
     in_bin, types_in = np.zeros(BINS), np.zeros(BINS)
     in_bin[sums["bin"]], types_in[sums["bin"]] = sums["c"], sums["v"]
     np.subtract.at(in_bin, best_bin, best_count)
     np.subtract.at(types_in, best_bin, 1)
     bin_log = np.log10(in_bin + 0.5 * (types_in + 1))
-    log_p = train(count_pairs(training, classes))
+    pairs = count_pairs(training, classes)
+    model = refine(training, classes, train(pairs), noise_of(pairs.sum(0).astype(np.float64)))
+    del pairs
 
     t_hash, _, t_count = columns_of(words.where(F.col("c") >= least_count(words, FREQUENT)))
     order = np.argsort(t_hash)
-    table = spark.sparkContext.broadcast((t_hash[order], t_count[order]))
+    table = spark.sparkContext.broadcast((t_hash[order], t_count[order], *model.tables()))
     base_log = float(np.log10(total + 0.5 * (types + 1)))
     end_log, end_known = float(np.log10(texts + 0.5)), int(texts > 0)
     short = len(classes.shortlist)
     fields = f"row long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, rare array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, counts = table.value
+        hashes, counts, (near, far), normaliser = table.value
         row = TaskContext.get().partitionId() << 40
         for batch, some in by_bytes(batches, "text", TEXT_BYTES):
             tokens = Tokens.of(some)
@@ -226,7 +355,8 @@ def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
             own_class = classes.of(tokens.hashes, tokens.bins)
             inside = np.where(own_class < short, 0.0, logs - bin_log[tokens.bins])
             word_at = np.arange(len(tokens.hashes)) + np.repeat(np.arange(len(n)), n)
-            base, score, known = np.full(len(now), end_log), log_p[before, now], np.full(len(now), end_known)
+            base, known = np.full(len(now), end_log), np.full(len(now), end_known)
+            score = near[before[0], now].astype(np.float64) + far[before[1], now] - normaliser[before[0], before[1]]
             base[word_at], known[word_at] = logs, looked
             score[word_at] += inside
             rare = np.split(tokens.hashes[~looked], np.cumsum([(~looked[a:b]).sum() for a, b in zip(tokens.bounds, tokens.bounds[1:], strict=False)])[:-1])
