@@ -256,9 +256,9 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 #: The similarity (Jaccard, of shingles) of near copies, and their shingles; 64-bit words of a wide fingerprint.
-SIMILAR, WIDE_SHINGLE, WIDE = 0.8, 5, 4
+SIMILAR, WIDE_SHINGLE, WIDE = 0.8, 5, 8
 #: How surely a pair of just that similarity shares a segment, and the texts that share a segment with a text by chance.
-FOUND, CHANCE = 0.9, 0.25
+FOUND, CHANCE = 0.95, 0.25
 
 
 def differing(similarity: float) -> float:

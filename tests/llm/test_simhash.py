@@ -107,7 +107,7 @@ def test_few_bits_of_a_wide_fingerprint(spark):
 
 @pytest.mark.parametrize("texts", [1_000, 200_000, 10**9])
 def test_segments_find_what_they_promise(texts):
-    segments = simhash.segments_for(texts)
+    segments = simhash.segments_for(texts, words=4)
     rng, bits = np.random.default_rng(1), round(256 * simhash.differing(0.8))
     flips = np.argsort(rng.random((2000, 256)), axis=1)[:, :bits]
     found = sum(any(not hit.intersection(s.tolist()) for s in segments) for hit in map(set, flips.tolist()))
@@ -131,7 +131,7 @@ def test_similar_texts_are_those_of_brute_force(spark):
     texts = [t for k in range(25) for t in variants(k, k % 4, 1 + k % 2)] + variants(99, 60, 2) + [f"alone {k} " + prose(k) for k in range(20)] + ["", None, " "]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
     got = {r["doc_id"]: r["first"]["id"] for r in simhash.similar_texts(docs).collect()}
-    fps = [int.from_bytes(w.astype(">u8").tobytes(), "big") for w in simhash.fingerprints([(t or "").encode().translate(LOWER) for t in texts], 5, words=4)]
+    fps = [int.from_bytes(w.astype(">u8").tobytes(), "big") for w in simhash.fingerprints([(t or "").encode().translate(LOWER) for t in texts], 5, words=simhash.WIDE)]
     want = {}
     for i in range(len(texts)):
         if i not in want:
