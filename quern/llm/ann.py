@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import materialize
+from quern.llm.common import materialize, settled
 
 NEAREST = 20
 #: Vectors read for training, and those of them that set the ratio.
@@ -240,6 +240,7 @@ def best_of(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np
     return ids[keep], scores[keep]
 
 
+@settled("ann")
 def nearest(vectors: DataFrame, is_query: Column, k: int = NEAREST, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k largest inner products among the other rows."""
     rows = materialize(usable(vectors, vec_id, embedding), "ann-rows")

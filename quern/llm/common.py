@@ -8,6 +8,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Hashable, Iterator
 from contextlib import contextmanager
+from functools import wraps
 from typing import Any
 
 import numpy as np
@@ -66,6 +67,20 @@ def materialize(df: DataFrame, name: str = "t", codec: str = "zstd", stays: bool
     return out
 
 
+def settled(name: str) -> Callable[[Callable[..., DataFrame]], Callable[..., DataFrame]]:
+    """For functions that write tables on their way: their result is written too, and those tables go."""
+
+    def wrap(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+        @wraps(f)
+        def run(*args: Any, **kwargs: Any) -> DataFrame:
+            with scratch():
+                return materialize(f(*args, **kwargs), name, stays=True)
+
+        return run
+
+    return wrap
+
+
 def discard(df: DataFrame) -> None:
     """Delete a table that :func:`materialize` wrote and nothing reads any more."""
     path = getattr(df, "_quern_path", None)

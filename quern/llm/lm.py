@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import LOWER, by_bytes, held_out, materialize, text_or_empty
+from quern.llm.common import LOWER, by_bytes, held_out, materialize, settled, text_or_empty
 from quern.llm.simhash import word_spans, xxh64_many
 
 #: Fewest and most words that are classes of their own, and bins of the others.
@@ -308,6 +308,7 @@ def least_count(words: DataFrame, most: int) -> int:
     return 1
 
 
+@settled("lm")
 def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """A row per document: its tokens, the unigram base score and the model's score, in log10."""
     kind = docs.schema[doc_id].dataType.simpleString()

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import by_bytes, materialize, small, text_or_empty
+from quern.llm.common import by_bytes, materialize, settled, small, text_or_empty
 
 UNIT = 576
 PAD = b"\xff"
@@ -232,6 +232,7 @@ def features(media: DataFrame) -> DataFrame:
     return media.mapInArrow(run, FEATURES)
 
 
+@settled("media")
 def media_features(docs: DataFrame) -> DataFrame:
     """Store all texts as media, read them back, and return each document's features."""
     lists = materialize(chunk_lists(docs), "media-lists")

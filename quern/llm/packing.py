@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.llm.common import by_bytes, keep, materialize, small, text_or_empty
+from quern.llm.common import by_bytes, keep, materialize, scratch, small, text_or_empty
 
 LENGTH = 1024
 END = 0
@@ -167,6 +167,9 @@ def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, keep_ids: bool =
     ends, within its document. All sequences but the last are full.
     """
     wide = word_tokens(tokenizer).dtype.itemsize > 2
-    tokens = materialize(tokenize(docs, tokenizer), "pack-tokens")
-    starts = materialize(partition_starts(tokens), "pack-starts")
-    return cut(tokens.join(small(starts, 2_000_000), "part"), wide, length, keep_ids)
+    with scratch():
+        # Pieces that carry their ids are as large as the tokens, so these stay instead of being copied.
+        tokens = materialize(tokenize(docs, tokenizer), "pack-tokens", stays=keep_ids)
+        starts = materialize(partition_starts(tokens), "pack-starts", stays=keep_ids)
+        pieces = cut(tokens.join(small(starts, 2_000_000), "part"), wide, length, keep_ids)
+        return pieces if keep_ids else materialize(pieces, "pack", stays=True)

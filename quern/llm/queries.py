@@ -8,8 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm import ann, chat, licenses, lm, media, mixing, packing, simhash, toxicity, warc
-
-from quern.llm.common import materialize
+from quern.llm.common import materialize, scratch
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -44,7 +43,9 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     arcs = warc.write_arc(_read(spark, sf_dir, "pages"))
-    records = warc.read_warc(materialize(warc.convert(arcs), "warc", "none"))
+    with scratch():
+        archives = materialize(warc.convert(arcs), "warc", "none", stays=True)
+    records = warc.read_warc(archives)
     return records.select(F.col("key").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))
 
 
