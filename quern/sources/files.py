@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 
@@ -27,16 +30,39 @@ class Files:
 
     def write(self, path: str, text: str) -> None:
         """Replace a file; readers see the old or the new text."""
+        self._put(path, text, "OVERWRITE")
+
+    def create(self, path: str, text: str) -> bool:
+        """Write a file unless there is one; whether it was written. Readers see it whole or not at all."""
+        try:
+            self._put(path, text, "NONE")
+        except Py4JJavaError as e:
+            if not self.exists(path):
+                raise
+            if "exist" not in str(e.java_exception):
+                raise
+            return False
+        return True
+
+    def names(self, path: str) -> list[str]:
         fs, p = self._at(path)
-        temp = self.jvm.org.apache.hadoop.fs.Path(f"{path}.new")
+        return [x.getPath().getName() for x in fs.listStatus(p)] if fs.exists(p) else []
+
+    def _put(self, path: str, text: str, how: str) -> None:
+        fs, p = self._at(path)
+        temp = self.jvm.org.apache.hadoop.fs.Path(p.getParent(), f".{p.getName()}.{uuid.uuid4().hex}")
         stream = fs.create(temp, True)
         stream.write(bytearray(text.encode()))
         stream.close()
         context = self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(p.toUri() if p.toUri().getScheme() else fs.getUri(), self.conf)
         rename = self.jvm.org.apache.hadoop.fs.Options.Rename
         options = self.jvm.java.lang.reflect.Array.newInstance(rename.OVERWRITE.getClass(), 1)
-        options[0] = rename.OVERWRITE
-        context.rename(temp, p, options)
+        options[0] = getattr(rename, how)
+        try:
+            context.rename(temp, p, options)
+        except Py4JJavaError:
+            fs.delete(temp, False)
+            raise
 
     def delete(self, path: str) -> None:
         fs, p = self._at(path)

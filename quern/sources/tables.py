@@ -13,6 +13,7 @@ changes touch.
 from __future__ import annotations
 
 import json
+import uuid
 from dataclasses import asdict, dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -57,6 +58,11 @@ class Bounds:
         return out & (c <= F.lit(self.high)) if self.high is not None else out
 
 
+def named(revision: int) -> str:
+    """A folder of one's own for a revision: another driver may be writing the same, and one of both will commit."""
+    return f"rev={revision}.{uuid.uuid4().hex[:12]}"
+
+
 def plain_key(t: Table, c: Column) -> Column:
     """A first key as the manifest has it."""
     return F.unix_micros(c) if t.kind(t.key[0]) == "timestamp" else c
@@ -65,8 +71,8 @@ def plain_key(t: Table, c: Column) -> Column:
 class Storage:
     def __init__(self, spark: SparkSession, catalog: Catalog) -> None:
         self.spark, self.catalog = spark, catalog
-        self.bases: dict[str, tuple[int, DataFrame]] = {}  # base files never change, so their listing is kept
-        self.manifests: dict[str, tuple[int, list[BaseFile]]] = {}
+        self.bases: dict[str, tuple[str, DataFrame]] = {}  # base files never change, so their listing is kept
+        self.manifests: dict[str, tuple[str, list[BaseFile]]] = {}
 
     def folder(self, t: Table) -> str:
         return f"{self.catalog.root}/{t.name}"
@@ -112,7 +118,7 @@ class Storage:
         return out
 
     def deltas(self, t: Table, upto: int | None = None) -> DataFrame | None:
-        paths = [f"{self.folder(t)}/delta/rev={r}" for r, *_ in t.deltas if r > t.base and (upto is None or r <= upto)]
+        paths = [f"{self.folder(t)}/delta/{d[5]}" for d in t.deltas if d[0] > t.base and (upto is None or d[0] <= upto)]
         return self.spark.read.schema(self.delta_schema(t)).parquet(*paths) if paths else None
 
     def changes(self, t: Table, deltas: DataFrame) -> DataFrame:
@@ -157,7 +163,7 @@ class Storage:
         if not whole:
             return merged  # only deletions and changes to rows that the base has
         # Keys that the base lacks can only be among those written whole; the base is asked for these alone.
-        written = Bounds(min(x[3] for x in whole), max(x[4] for x in whole)) if all(len(x) > 4 and x[3] is not None for x in whole) else Bounds()
+        written = Bounds(min(x[3] for x in whole), max(x[4] for x in whole)) if all(x[3] is not None for x in whole) else Bounds()
         first = plain_key(t, F.col(t.key[0]))
         near = self.base(t, written) if files is None else base()
         held = near.where(written.condition(first)).select(*t.key).alias("b").join(d, same, "left_semi").alias("b")
@@ -179,7 +185,8 @@ class Storage:
                 F.lit(revision).cast("long").alias("_rev"), (seq if seq is not None else F.lit(0)).cast("long").alias("_seq"), (F.lit(op) if isinstance(op, str) else op).alias("_op"),
                 (F.array(*map(F.lit, sets)) if sets is not None else F.lit(None)).cast("array<string>").alias("_set"),
             )
-            path = f"{self.folder(t)}/delta/rev={revision}"
+            name = named(revision)
+            path = f"{self.folder(t)}/delta/{name}"
             try:
                 out.write.mode("overwrite").parquet(path)
             except Exception as e:
@@ -189,7 +196,7 @@ class Storage:
             first = plain_key(t, F.col(t.key[0]))
             count, low, high = self.spark.read.schema(self.delta_schema(t)).parquet(path).agg(F.count(F.lit(1)), F.min(first), F.max(first)).first()
             if count:
-                t.deltas.append((revision, count, sets is None and not (isinstance(op, str) and op == "D"), low, high))
+                t.deltas.append((revision, count, sets is None and not (isinstance(op, str) and op == "D"), low, high, name))
             self.catalog.save()
             return count
 
@@ -206,7 +213,7 @@ class Storage:
             past = [d for d in t.deltas if d[0] > t.base and (keep is None or d[0] <= keep)]
             if not past:
                 return t.base_rows
-            known = all(len(d) > 4 and d[3] is not None for d in past)
+            known = all(d[3] is not None for d in past)
             every = self.files(t)
             touched = [f for f in every if any(Bounds(d[3], d[4]).meet(f.low, f.high) for d in past)] if known and not whole else every
             rows = sum(f.rows for f in touched) + sum(d[1] for d in past)
@@ -237,7 +244,8 @@ class Storage:
     def _replace(self, t: Table, old: list[BaseFile], parts: list[DataFrame], count: int, number: int) -> None:
         """Write frames, which share no file, as new base files in place of some others."""
         files = max(1, -(-count // ROWS_A_FILE))
-        path = f"{self.folder(t)}/base/rev={number}"
+        name = named(number)
+        path = f"{self.folder(t)}/base/{name}"
         for k, part in enumerate(parts):
             writer = part.repartitionByRange(files, *t.key).sortWithinPartitions(*t.key).write.mode("append" if k else "overwrite")
             for column in {*t.indexes.values(), *t.key}:
@@ -250,19 +258,18 @@ class Storage:
         known = lambda x: None if isinstance(x, float) and x != x else x  # noqa: E731  NaN is above all numbers, so no bound
         every = kept + [BaseFile(r["path"], r["rows"], known(r["low"]), known(r["high"])) for r in made.collect()]  # a row a file
         every.sort(key=lambda f: (f.low is not None, f.low if f.low is not None else 0))
-        self.catalog.files.write(f"{self.folder(t)}/manifest/{number}.json", json.dumps([asdict(f) for f in every]))
-        t.manifest, t.base_rows = number, sum(f.rows for f in every)
+        self.catalog.files.write(f"{self.folder(t)}/manifest/{name}.json", json.dumps([asdict(f) for f in every]))
+        t.manifest, t.base_rows = name, sum(f.rows for f in every)
         t.base = t.base or number
 
     def vacuum(self, t: Table) -> None:
         """Delete files that no committed state refers to."""
         folder = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder(t))
         fs = folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        used = {int(f.path.rsplit("/rev=", 1)[1].split("/")[0]) for f in self.files(t)}
-        wanted = {"base": used, "delta": {d[0] for d in t.deltas}, "manifest": {t.manifest}}
+        wanted = {"base": {f.path.rsplit("/", 2)[1] for f in self.files(t)}, "delta": {d[5] for d in t.deltas}, "manifest": {f"{t.manifest}.json"}}
         for part, keep in wanted.items():
             where = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder(t)}/{part}")
             if fs.exists(where):
                 for status in fs.listStatus(where):
-                    if int(status.getPath().getName().removeprefix("rev=").split(".")[0]) not in keep:
+                    if status.getPath().getName() not in keep:
                         fs.delete(status.getPath(), True)

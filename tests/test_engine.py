@@ -182,6 +182,8 @@ def test_bi_helpers(engine, tmp_path):
     assert e.dashboards()[0]["config"] == {"w": [1]} and e.delete_dashboard("d") == 1 and e.dashboards() == []
     e.export_csv("SELECT * FROM t", f"file://{tmp_path}/csv")
     assert e.spark.read.csv(f"file://{tmp_path}/csv", header=True).count() == 1
+    (part,) = (tmp_path / "csv").glob("part-*.csv")
+    assert part.read_bytes().startswith(b"\xef\xbb\xbf")
     assert "quern_statement_seconds_count" in e.metrics.prometheus()
     (tmp_path / "s.sql").write_text("SELECT 1; SELECT 'a;b'")
     assert len(e.run_file(f"file://{tmp_path}/s.sql")) == 2
@@ -331,3 +333,22 @@ def test_indexes_act_at_once(engine):
     e.execute("CREATE INDEX i ON t (v)")
     assert not before & {f.path for f in e.storage.files(e.managed("t"))}
     assert rows(e, "SELECT id FROM t WHERE v = 'v7'") == [(7,)]
+
+
+def test_two_drivers_do_not_overwrite_each_other(spark, tmp_path):
+    a = Engine(spark, f"file://{tmp_path}")
+    a.execute("CREATE TABLE n (k string PRIMARY KEY) ENGINE=KV")
+    a.kv("n").put("x", "1")
+    b = Engine(spark, f"file://{tmp_path}")
+    assert b.kv("n").compare_and_swap("x", "1", "2")
+    with pytest.raises(AnalysisError):
+        a.kv("n").compare_and_swap("x", "1", "3")  # it knows only the old value
+    assert a.kv("n").get("x") == b.kv("n").get("x") == "2"
+    assert not a.kv("n").compare_and_swap("x", "1", "3") and a.kv("n").compare_and_swap("x", "2", "3")
+    with pytest.raises(AnalysisError):
+        b.execute("CREATE TABLE t (id int PRIMARY KEY)")
+    b.execute("CREATE TABLE t (id int PRIMARY KEY)")
+    for i in range(25):
+        b.kv("n").grant(1.0)
+    c = Engine(spark, f"file://{tmp_path}")
+    assert c.kv("n").get("x") == "3" and c.catalog.tables.keys() == b.catalog.tables.keys() and len(c.catalog.leases) == 25
