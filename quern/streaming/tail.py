@@ -24,7 +24,10 @@ def change_stream(storage: Storage, t: Table) -> DataFrame:
 
 
 def committed(storage: Storage, t: Table, revisions: DataFrame) -> DataFrame:
-    """Of a batch of change rows, those that the catalog knows; for use in ``foreachBatch``."""
+    """Of a batch of change rows, those whose revision the catalog knows; for use in ``foreachBatch``.
+
+    Rows of a crashed statement whose revision number was used again, or was compacted, are not told apart.
+    """
     known = {d[0] for d in t.deltas}
     return revisions.where((F.col("_rev") <= t.base) | F.col("_rev").isin(*known) if known else F.col("_rev") <= t.base)
 

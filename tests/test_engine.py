@@ -352,3 +352,15 @@ def test_two_drivers_do_not_overwrite_each_other(spark, tmp_path):
         b.kv("n").grant(1.0)
     c = Engine(spark, f"file://{tmp_path}")
     assert c.kv("n").get("x") == "3" and c.catalog.tables.keys() == b.catalog.tables.keys() and len(c.catalog.leases) == 25
+
+
+def test_uncommitted_revisions_can_be_left_out(engine):
+    from quern.streaming import tail
+
+    e = engine
+    e.execute("CREATE TABLE t (id int PRIMARY KEY)")
+    e.execute("INSERT INTO t VALUES (1)")
+    t = e.managed("t")
+    rev = t.deltas[-1][0]
+    batch = e.spark.createDataFrame([(1, rev), (2, rev + 5)], "id long, _rev long")
+    assert [r["id"] for r in tail.committed(e.storage, t, batch).collect()] == [1]
