@@ -1,3 +1,5 @@
+import tracemalloc
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -103,6 +105,32 @@ def test_an_id_with_many_rows_leaves_room_for_others(spark):
     assert [r["vec_id"] for r in sorted(got, key=lambda r: r["rank"])] == list(range(1, 21))
 
 
+def test_memory_does_not_grow_with_lists():
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(8000, 16))
+    x /= np.sqrt((x * x).sum(1))[:, None]
+    tracemalloc.start()
+    index = ann.Index(*ann.train_centroids(np.hstack([x, np.zeros((len(x), 1))]), 1000, rounds=1), 1.0)
+    row, _ = index.lists_of(x)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(np.unique(row)) == len(x) and peak < 8 * len(x) * 1000  # one matrix of all distances
+
+
+def test_a_query_goes_once_to_a_cell(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(600, 8))
+    index = ann.Index(rng.normal(size=(40, 9)), np.zeros(40), 10.0, ratio=100.0)
+    sizes = rng.integers(1, 400, size=40)
+    sizes[[0, 17]] = 3000, 5000
+    first, pieces = ann.cells(sizes)
+    sent = ann.probes(ann.usable(frame(spark, [(i, v.tolist()) for i, v in enumerate(x)])), index, sizes, 1).collect()
+    seen = {(r["query_id"], r["cell"]) for r in sent}
+    assert len(seen) == len(sent) == 600 * int((first + pieces).max())
+    want = sorted(k for k in range(40) for _ in range(pieces[k]))
+    assert all(sorted(k for r in sent if r["query_id"] == q for k in r["lists"]) == want for q in (0, 599))
+
+
 def test_empty(spark):
     assert ann.nearest(frame(spark, []), F.col("vec_id") == 0).count() == 0
     assert ann.nearest(frame(spark, [(0, [1.0])]), F.col("vec_id") == 0).count() == 0
