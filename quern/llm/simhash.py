@@ -24,8 +24,8 @@ ids and rows each keep a row. An empty table gives no rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import reduce
+from collections.abc import Iterable, Iterator
+from functools import cache, reduce
 from itertools import combinations
 from math import acos, ceil, comb, log, log1p, log2, pi, sqrt
 
@@ -150,14 +150,11 @@ def _remixed(h: np.ndarray, k: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def fingerprints(texts: list[bytes], shingle: int = SHINGLE, seed: int = SEED, words: int = 1) -> np.ndarray:
-    """SimHash of each lower-cased text over its word shingles, repeats included: (texts, 64-bit words)."""
-    data, at, size, doc, n = shingles_of(texts, shingle)
-    counts = np.zeros((len(texts), words * 8, 8), dtype=np.int64)
-    for a in range(0, len(doc), SHINGLES_AT_ONCE):
-        part = slice(a, a + SHINGLES_AT_ONCE)
-        h = xxh64_many(data, at[part], size[part], seed)
-        docs, begin = np.unique(doc[part], return_index=True)
+def _majorities(hashes: Iterable[tuple[np.ndarray, np.ndarray]], n: np.ndarray, words: int) -> np.ndarray:
+    """Bits set in over half of each text's ``n`` hashes, which come in parts of (hashes, ascending texts): (texts, 64-bit words)."""
+    counts = np.zeros((len(n), words * 8, 8), dtype=np.int64)
+    for h, doc in hashes:
+        docs, begin = np.unique(doc, return_index=True)
         runs = -(-np.diff(np.append(begin, len(h))) // 255)  # a counter of one byte holds 255 shingles
         first = np.cumsum(runs) - runs
         starts = np.repeat(begin, runs) + 255 * (np.arange(runs.sum()) - np.repeat(first, runs))
@@ -166,10 +163,30 @@ def fingerprints(texts: list[bytes], shingle: int = SHINGLE, seed: int = SEED, w
             for j in range(8):
                 lanes = np.add.reduceat(LANES[by_byte[:, j]], starts).view(np.uint8).reshape(-1, 8)
                 counts[docs, k * 8 + j] += np.add.reduceat(lanes, first, axis=0, dtype=np.int64)
-    bits = counts.reshape(len(texts), words * 64) * 2 > n[:, None]
+    bits = counts.reshape(len(n), words * 64) * 2 > n[:, None]
     return np.packbits(bits, axis=1).view(">u8").astype(np.uint64)
 
 
+def _parts(size: int) -> Iterator[slice]:
+    return (slice(a, a + SHINGLES_AT_ONCE) for a in range(0, size, SHINGLES_AT_ONCE))
+
+
+def fingerprints(texts: list[bytes], shingle: int = SHINGLE, seed: int = SEED, words: int = 1) -> np.ndarray:
+    """SimHash of each lower-cased text over its word shingles, repeats included: (texts, 64-bit words)."""
+    data, at, size, doc, n = shingles_of(texts, shingle)
+    return _majorities(((xxh64_many(data, at[x], size[x], seed), doc[x]) for x in _parts(len(doc))), n, words)
+
+
+def shingle_sets(texts: list[bytes], shingle: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct shingles' hashes of lower-cased texts, ascending within a text, their texts, and each text's number of them."""
+    data, at, size, doc, _ = shingles_of(texts, shingle)
+    h = np.concatenate([np.empty(0, dtype=np.uint64), *(xxh64_many(data, at[x], size[x]) for x in _parts(len(doc)))])
+    order = np.lexsort((h, doc))
+    h, doc = h[order], doc[order]
+    new = np.append(True, (h[1:] != h[:-1]) | (doc[1:] != doc[:-1]))[: len(h)]
+    return h[new], doc[new], np.bincount(doc[new], minlength=len(texts))
+
+
 def text_hash(text: Column) -> Column:
     return F.xxhash64(text_or_empty(text))
 
@@ -266,10 +283,10 @@ def differing(similarity: float) -> float:
     return acos(2 * similarity / (1 + similarity)) / pi
 
 
-def wide_radius(similarity: float = SIMILAR, words: int = WIDE) -> int:
-    """The bits in which texts of that similarity may differ: their mean, and one standard deviation more."""
+def wide_radius(similarity: float = SIMILAR, words: int = WIDE, deviations: int = 1) -> int:
+    """The bits in which texts of that similarity may differ: their mean, and some standard deviations more."""
     share, bits = differing(similarity), 64 * words
-    return int(bits * share + sqrt(bits * share * (1 - share)))
+    return int(bits * share + deviations * sqrt(bits * share * (1 - share)))
 
 
 def segments_for(texts: int, similarity: float = SIMILAR, words: int = WIDE) -> list[np.ndarray]:
@@ -351,6 +368,229 @@ def similar_texts(docs: DataFrame, similarity: float = SIMILAR, shingle: int = W
         return materialize(found.select("doc_id", "text_hash", "first"), "simhash-found", stays=True)
 
 
+#: Words of the ring that all pairs of like sizes are tested by, and standard deviations above the mean that its radius allows.
+RING, ALLOWED = 4, 4
+#: 64-bit words of the parities of a set, which differ in no more bits than the sets in members.
+PARITIES = 4
+#: Nodes of a block, of which two make a cell, at least and at most, and those compared at once with so many others.
+BLOCKS, ROWS, COLUMNS = (1 << 10, 1 << 17), 256, 4096
+#: Candidates of a node and cell that a round of the search takes, nearest first; the last round takes all.
+ROUNDS = (1, 16, None)
+#: Sets up to this size have their share of differing bits computed from binomials.
+FEW = 64
+#: Candidates that a task holds before it leaves all but the nearest.
+HELD = 1 << 20
+#: Parts into which the pairs of one node are dealt.
+DEALT = 64
+
+
+def node_columns(words: int) -> list[str]:
+    return [*(f"fp{k}" for k in range(words)), *(f"odd{k}" for k in range(PARITIES))]
+
+
+def with_sets(docs: DataFrame, shingle: int = WIDE_SHINGLE, words: int = WIDE) -> DataFrame:
+    """(doc_id, text_hash, id, n, fp0, ..., odd0, ...): a hash of the set of shingles, their number, the set's fingerprint and parities."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    names, bits = ["id", "n", *node_columns(words)], 64 * PARITIES
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in by_bytes(batches, "text"):
+            h, doc, n = shingle_sets([t.encode().translate(LOWER) for t in texts], shingle)
+            fp = _majorities(((h[x], doc[x]) for x in _parts(len(h))), n, words).view(np.int64)
+            sums, ends = np.append(np.uint64(0), np.cumsum(_remixed(h, words))), np.cumsum(n)
+            odd = np.bincount(doc * bits + (h % np.uint64(bits)).astype(np.int64), minlength=len(n) * bits) & 1
+            odd = np.packbits(odd.astype(np.uint8).reshape(-1, bits), axis=1).view(np.int64)
+            columns = [(sums[ends] - sums[ends - n]).view(np.int64), n, *np.ascontiguousarray(np.concatenate([fp, odd], axis=1).T)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), *map(pa.array, columns)], ["doc_id", "text_hash", *names])
+
+    rows = docs.select("doc_id", text_or_empty(F.col("text")).alias("text"), text_hash(F.col("text")).alias("text_hash"))
+    return rows.mapInArrow(run, f"doc_id {kind}, text_hash long, " + ", ".join(f"{x} long" for x in names))
+
+
+@cache
+def most_differing(similarity: float, size: int) -> float:
+    """The largest mean share of bits in which sets of that similarity differ, of which the larger has ``size`` members."""
+    limit, found = differing(similarity), 0.0
+    if size > FEW:
+        return max(limit, most_differing(similarity, FEW))
+    for other in range(ceil(similarity * size - 1e-6), size + 1):
+        common = ceil(similarity * (size + other) / (1 + similarity) - 1e-6)
+        if common > other:
+            continue
+        # A bit is set if over half of a set's members have it: the common ones, x, and its own.
+        x = np.arange(common + 1)[:, None]
+        chance, own = [comb(common, k) / 2**common for k in range(common + 1)], []
+        for n in (size, other):
+            y = np.arange(n - common + 1)
+            odds = np.array([comb(n - common, k) / 2 ** (n - common) for k in y])
+            own.append((((x + y) * 2 > n) * odds).sum(axis=1))
+        found = max(found, float((chance * (own[0] * (1 - own[1]) + own[1] * (1 - own[0]))).sum()))
+    return max(limit, found)
+
+
+def set_radii(similarity: float, words: int) -> np.ndarray:
+    """The bits of ``words`` words in which sets of that similarity may differ, by the larger one's size (the last: all beyond)."""
+    bits = 64 * words
+    shares = [most_differing(similarity, n) for n in range(FEW + 2)]
+    return np.array([int(bits * p + ALLOWED * sqrt(bits * p * (1 - p))) for p in shares])
+
+
+def on_chains(differ: np.ndarray, radius: np.ndarray) -> np.ndarray:
+    """For rows of bits that differ by segment: from some segment on, all chains stay within their share of the row's radius."""
+    m, found = differ.shape[1], np.zeros(len(differ), dtype=bool)
+    for i in range(m):
+        sums = np.cumsum(np.roll(differ, -i, axis=1), axis=1, dtype=np.int64)
+        found |= (sums * m <= radius[:, None] * np.arange(1, m + 1)).all(axis=1)
+    return found
+
+
+def nearest_few(node: np.ndarray, key: np.ndarray, number: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each node's ``number`` smallest keys, of (node, key) in any order."""
+    order = np.lexsort((key, node))
+    node, key = node[order], key[order]
+    begin = np.flatnonzero(np.append(True, node[1:] != node[:-1])[: len(node)])
+    rank = np.arange(len(node)) - np.repeat(begin, np.diff(np.append(begin, len(node))))
+    return node[rank < number], key[rank < number]
+
+
+def cells_of(sizes: dict[int, int], block: int) -> list[tuple[int, int, int, int]]:
+    """Nodes by class of size -> (class, block, cell, side): blocks of a class and of the next one meet in a cell, as left (0), right (1) or both (2)."""
+    blocks = {c: -(-n // block) for c, n in sizes.items()}
+    pairs = [((c, i), (d, j)) for c in blocks for d in (c, c + 1) for i in range(blocks[c]) for j in range(i if c == d else 0, blocks.get(d, 0))]
+    out = []
+    for cell, (one, other) in enumerate(pairs):
+        out += [(*one, cell, 2)] if one == other else [(*one, cell, 0), (*other, cell, 1)]
+    return out
+
+
+def ring_pairs(nodes: DataFrame, similarity: float, words: int, nearest: int | None = None, block: int | None = None) -> DataFrame:
+    """nodes (id, n, root, fp0, ..., odd0, ...) -> (a, b) with a < b: candidates of that similarity that have different roots.
+
+    They are all pairs whose sizes and parities allow it, whose first ``RING`` words differ by
+    no more than their radius, found by chains along the ring, and whose words do by the whole
+    one; or of these, each node's ``nearest`` few of a cell.
+    """
+    names = node_columns(words)
+    m = min(RING, words)
+    radii, whole = set_radii(similarity, m), set_radii(similarity, words)
+
+    def compare(table: pa.Table) -> pa.Table:
+        ids, n, root, side = (table.column(x).to_numpy() for x in ("id", "n", "root", "side"))
+        marks = np.stack([table.column(x).to_numpy() for x in names], axis=1).view(np.uint64)
+        prints, odd = np.ascontiguousarray(marks[:, :words]), np.ascontiguousarray(marks[:, words:])
+        order = np.lexsort((ids, n))
+        one, other = order[side[order] != 1], order[side[order] != 0]
+        itself, sizes = bool((side == 2).any()), n[other]
+        right = np.ascontiguousarray(prints[other, :m].T)
+        node, key = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
+        pairs = [np.empty((0, 2), dtype=np.int64)]
+        for p in range(0, len(one), ROWS):
+            rows = one[p : p + ROWS]
+            left = prints[rows, :m]
+            low = np.searchsorted(sizes, ceil(n[rows[0]] * similarity - 1e-6))
+            high = int(np.searchsorted(sizes, int(n[rows[-1]] / similarity + 1e-6), side="right"))
+            first = int(radii[min(n[rows[0]], FEW + 1) :].max()) // m  # the larger set of a pair is at least as large
+            for q in range(max(int(low), p + 1) if itself else int(low), high, COLUMNS):
+                columns = other[q : min(high, q + COLUMNS)]
+                near = np.zeros((len(rows), len(columns)), dtype=bool)
+                for k in range(m):
+                    near |= np.bitwise_count(left[:, k, None] ^ right[k, None, q : q + len(columns)]) <= first
+                i, j = np.divmod(np.flatnonzero(near), len(columns))
+                if itself:
+                    after = q + j > p + i
+                    i, j = i[after], j[after]
+                i, j = rows[i], columns[j]
+                apart = (root[i] != root[j]) & (np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]) - 1e-6)
+                i, j = i[apart], j[apart]
+                able = np.bitwise_count(odd[i] ^ odd[j]).sum(axis=1, dtype=np.int64) <= (1 - similarity) / (1 + similarity) * (n[i] + n[j]) + 1e-6
+                i, j = i[able], j[able]
+                differ = np.bitwise_count(prints[i] ^ prints[j]).astype(np.int64)
+                bits = differ.sum(axis=1)
+                larger = np.minimum(np.maximum(n[i], n[j]), FEW + 1)
+                found = on_chains(differ[:, :m], radii[larger]) & (bits <= whole[larger])
+                i, j, bits = i[found], j[found], bits[found]
+                if nearest is None:
+                    pairs.append(np.stack([ids[i], ids[j]], axis=1))
+                    continue
+                node, key = np.concatenate([node, i, j]), np.concatenate([key, (bits << 32) | j, (bits << 32) | i])
+                if len(node) > max(HELD, 2 * nearest * len(ids)):
+                    node, key = nearest_few(node, key, nearest)
+        if nearest is not None:
+            node, key = nearest_few(node, key, nearest)
+            pairs.append(np.stack([ids[node], ids[key & 0xFFFFFFFF]], axis=1))
+        found = np.sort(np.concatenate(pairs), axis=1)
+        return pa.table({"a": np.ascontiguousarray(found[:, 0]), "b": np.ascontiguousarray(found[:, 1])})
+
+    # A little more than the ratio, so that rounding can't put sizes of just that ratio two classes apart.
+    size_class = F.floor(F.ln("n") / (-log(similarity) * 1.0001)).cast("int")
+    placed = nodes.where("n > 0").withColumn("class", size_class)
+    counts = {r["class"]: r["count"] for r in placed.groupBy("class").count().collect()}
+    block = block or min(max(BLOCKS[0], sum(counts.values()) // 32), BLOCKS[1])
+    cells = cells_of(counts, block)
+    blocks = nodes.sparkSession.createDataFrame([(c, -(-n // block)) for c, n in counts.items()], "class int, blocks int")
+    cells_frame = nodes.sparkSession.createDataFrame(cells, "class int, block int, cell int, side int")
+    placed = placed.join(F.broadcast(blocks), "class").withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+    placed = placed.join(small(cells_frame), ["class", "block"]).select("cell", "side", "id", "n", "root", *names)
+    tasks = min(200, 1 + 4 * len({c[2] for c in cells}))
+    return placed.repartition(tasks, "cell").groupBy("cell").applyInArrow(compare, "a long, b long")
+
+
+def truly_similar(pairs: DataFrame, texts: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """pairs (a, b), texts (id, text) -> (a, b): those whose sets of shingles have that similarity (Jaccard), by the sets themselves."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chief = np.empty(0, dtype=np.uint64)
+        for batch, words in by_bytes(batches, "text"):
+            h, _, n = shingle_sets([t.encode().translate(LOWER) for t in words], shingle)
+            keep = np.zeros(len(n), dtype=bool)
+            for k, (member, end) in enumerate(zip(batch.column("b").is_valid().to_pylist(), np.cumsum(n).tolist(), strict=True)):
+                own = h[end - n[k] : end]
+                if not member:
+                    chief = own
+                elif len(chief) and len(own):
+                    at = np.minimum(np.searchsorted(chief, own), len(chief) - 1)
+                    both = int((chief[at] == own).sum())
+                    keep[k] = both >= similarity * (len(chief) + len(own) - both) - 1e-6
+            kept = pa.array(keep)
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(kept), batch.column("b").filter(kept)], ["a", "b"])
+
+    dealt = pairs.withColumn("part", F.pmod("b", F.lit(DEALT)).cast("int"))
+    members = dealt.join(texts, F.col("b") == F.col("id")).select("a", "part", "b", "text")
+    chiefs = dealt.select("a", "part").distinct().join(texts, F.col("a") == F.col("id")).select("a", "part", F.lit(None).cast("long").alias("b"), "text")
+    rows = members.union(chiefs).repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
+    return rows.select("a", "b", "text").mapInArrow(run, "a long, b long")
+
+
+def alike_texts(docs: DataFrame, similarity: float = SIMILAR, shingle: int = WIDE_SHINGLE, words: int = WIDE, block: int | None = None) -> DataFrame:
+    """(doc_id, text_hash, first), as :func:`near_duplicates`: texts whose sets of shingles have that similarity, or are equal, link.
+
+    The ring search tests all pairs of like sizes, and the sets themselves decide on what it
+    finds. Each node's nearest come first, then more, and at last all that are still in
+    different components, so that a group of near copies yields no square of pairs.
+    """
+    names = node_columns(words)
+    with scratch():
+        fps = materialize(with_sets(docs, shingle, words), "simhash-sets")
+        heads = materialize(_heads(fps, ["id", "n", *names]), "simhash-heads")
+        rows = docs.select("doc_id", text_or_empty(F.col("text")).alias("text"), text_hash(F.col("text")).alias("text_hash"))
+        nodes, links, tested = heads.select("id", "n", F.col("id").alias("root"), *names), None, None
+        for nearest in ROUNDS:
+            pairs = ring_pairs(nodes, similarity, words, nearest, block).distinct()
+            pairs = materialize(pairs if tested is None else pairs.join(small(tested), ["a", "b"], "left_anti"), "simhash-pairs")
+            if tested is None:  # what has no candidate in the first round has none, and texts are needed of the others only
+                asked = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+                asked = small(materialize(heads.join(small(asked), "id"), "simhash-asked"))
+                same = rows["doc_id"].eqNullSafe(F.col("head.id")) & (rows["text_hash"] == F.col("head.text_hash"))
+                texts = materialize(rows.join(asked, same).select("id", "text").dropDuplicates(["id"]), "simhash-texts")
+            found = materialize(truly_similar(pairs, texts, similarity, shingle), "simhash-alike")
+            links, tested = (found, pairs) if links is None else (links.union(found), tested.union(pairs))
+            if nearest is not None:
+                roots = small(materialize(components(links).withColumnRenamed("node", "id"), "simhash-roots"))
+                nodes = asked.join(roots, "id", "left").select("id", "n", F.coalesce("root", "id").alias("root"), *names)
+        found = _named(fps.select("doc_id", "text_hash", "id"), ["id"], heads.select("id", "head"), links)
+        return materialize(found.select("doc_id", "text_hash", "first"), "simhash-found", stays=True)
+
+
 def fingerprint_hex(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
@@ -362,7 +602,7 @@ def keep_one(docs: DataFrame, similarity: float = SIMILAR) -> DataFrame:
     """
     stays = F.expr("doc_id <=> first.id and text_hash = first.text_hash")
     with scratch():
-        found = similar_texts(docs, similarity)
+        found = alike_texts(docs, similarity)
         gone = materialize(found.where(~stays).select("doc_id", "text_hash").distinct(), "simhash-gone", stays=True)
         twice = found.where(stays).groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
         twice = materialize(twice.select("doc_id", "text_hash"), "simhash-twice", stays=True)

@@ -157,6 +157,53 @@ def test_one_of_each_stays(docs, wide):
     assert "another text with the id three" in texts and "no id at all here" in texts
 
 
-@pytest.mark.parametrize("f", [simhash.near_duplicates, simhash.similar_texts, simhash.keep_one])
+def sets_of(text, k=5):
+    words = (text or "").lower().split()
+    return frozenset(tuple(words[i : i + k]) for i in range(max(1, len(words) - k + 1))) if words else frozenset()
+
+
+def components_of(texts, similarity=0.8):
+    sets, first = [sets_of(t) for t in texts], {}
+    for i in range(len(texts)):
+        todo = [] if i in first else [i]
+        while todo:
+            x = todo.pop()
+            if x not in first:
+                first[x] = i
+                todo += [j for j, s in enumerate(sets) if s == sets[x] or s and len(s & sets[x]) >= similarity * len(s | sets[x])]
+    return first
+
+
+@pytest.mark.parametrize("block", [None, 7])
+def test_alike_texts_are_those_of_the_sets(spark, block):
+    r = random.Random(4)
+    line = "all of this is said again "
+    texts = [line * 80 + prose(k) for k in range(3)]  # repeated lines outvote what differs
+    for k in range(90):
+        words = [f"v{r.randrange(9000)}" for _ in range(r.choice([5, 8, 30, 200]) + k % 3)]
+        more = [f"u{r.randrange(9000)}" for _ in range(int((len(words) - 4) * 0.25))]
+        texts += [" ".join(words), " ".join(words + more), " ".join(words + [*more, f"t{k}"])]  # the second at 0.8 or a little more, the third below
+    texts += [t for k in range(6) for t in variants(k, 5, 3)] + ["", None, " ", "one", "One", "one two three four five", "one two three four five six"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: r["first"]["id"] for r in simhash.alike_texts(docs, block=block).collect()}
+    assert got == components_of(texts)
+
+
+def test_chains_and_cells():
+    rng = np.random.default_rng(2)
+    differ = rng.integers(0, 30, (3000, 4))
+    radius = rng.integers(20, 80, 3000)
+    share = lambda d, t: any(all(sum(d[(i + k) % 4] for k in range(n)) <= n * t // 4 for n in range(1, 5)) for i in range(4))
+    found = simhash.on_chains(differ.astype(np.uint8), radius)
+    assert found.tolist() == [share(d, t) for d, t in zip(differ.tolist(), radius.tolist(), strict=True)]
+    assert found[differ.sum(axis=1) <= radius].all()
+    cells, met = simhash.cells_of({3: 10, 4: 25, 6: 1}, 10), []
+    for cell in {c[2] for c in cells}:
+        met.append(frozenset((c, b) for c, b, k, _ in cells if k == cell))
+    blocks = [(3, 0), (4, 0), (4, 1), (4, 2), (6, 0)]
+    assert sorted(met, key=sorted) == sorted({frozenset((x, y)) for x in blocks for y in blocks if abs(x[0] - y[0]) <= 1}, key=sorted)
+
+
+@pytest.mark.parametrize("f", [simhash.near_duplicates, simhash.similar_texts, simhash.alike_texts, simhash.keep_one])
 def test_empty(no_docs, f):
     assert f(no_docs).count() == 0
