@@ -17,6 +17,10 @@ number of texts, so that a pair at the wanted similarity is found with probabili
 ``FOUND`` at every size, and nearly surely above it. Texts of a segment first meet one
 of them, then only texts of other components, so a group yields no square of links.
 
+``alike_texts``, which ``keep_one`` uses, leaves nothing to such luck: all pairs whose
+sizes allow the similarity (below 1) are tested by the ring's chains, and the sets of
+shingles themselves decide.
+
 Texts that are null or without words have fingerprint zero and link like others.
 Null ids are ignored when a component is named, unless it has no others; repeated
 ids and rows each keep a row. An empty table gives no rows.

@@ -187,6 +187,9 @@ def test_alike_texts_are_those_of_the_sets(spark, block):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
     got = {r["doc_id"]: r["first"]["id"] for r in simhash.alike_texts(docs, block=block).collect()}
     assert got == components_of(texts)
+    if block is None:
+        kept = [r["doc_id"] for r in simhash.keep_one(docs).collect()]
+        assert sorted(kept) == sorted(set(got.values()))
 
 
 def test_chains_and_cells():
