@@ -37,6 +37,7 @@ class Table:
     manifest: str = ""  # name of the list of base files
     #: Committed (revision, rows, whether it may hold new keys, least and greatest first key, name of its folder).
     deltas: list[tuple] = field(default_factory=list)
+    splits: list = field(default_factory=list)  # first keys that begin a shard, as the manifest has them; no base file holds keys of two shards
 
     @property
     def schema(self) -> T.StructType:

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from bisect import bisect_right
 from dataclasses import asdict, dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -58,6 +59,24 @@ class Bounds:
         return out & (c <= F.lit(self.high)) if self.high is not None else out
 
 
+@dataclass(frozen=True)
+class Shard:
+    """First keys from ``low`` on and below ``high`` (None: no bound), and base files."""
+
+    low: int | float | str | None
+    high: int | float | str | None
+    files: list[BaseFile]
+
+    def condition(self, c: Column) -> Column:
+        """Whether plain keys (see :func:`plain_key`) are the shard's."""
+        out = F.lit(True) if self.low is None else c >= F.lit(self.low)
+        return out if self.high is None else out & (c < F.lit(self.high))
+
+    def outside(self, low: int | float | str | None, high: int | float | str | None) -> bool:
+        """Whether no key of a range is the shard's, as far as is known."""
+        return (self.low is not None and high is not None and high < self.low) or (self.high is not None and low is not None and low >= self.high)
+
+
 def named(revision: int) -> str:
     """A folder of one's own for a revision: another driver may be writing the same, and one of both will commit."""
     return f"rev={revision}.{uuid.uuid4().hex[:12]}"
@@ -92,6 +111,13 @@ class Storage:
             self.manifests[t.name] = (t.manifest, held)
         return held
 
+    def shards(self, t: Table) -> list[Shard]:
+        """All first keys, divided where the table was split, with the base files that hold them; a shard may have no file or many."""
+        out = [Shard(low, high, []) for low, high in zip([None, *t.splits], [*t.splits, None], strict=True)]
+        for f in self.files(t):
+            out[-1 if f.low is None else bisect_right(t.splits, f.low)].files.append(f)  # no least key: NaN, above all numbers
+        return out
+
     def base(self, t: Table, bounds: Bounds | None = None, files: list[BaseFile] | None = None) -> DataFrame:
         """The base's rows, at least those within bounds of the first key, or those of some files."""
         every = self.files(t)
@@ -216,22 +242,29 @@ class Storage:
             known = all(d[3] is not None for d in past)
             every = self.files(t)
             touched = [f for f in every if any(Bounds(d[3], d[4]).meet(f.low, f.high) for d in past)] if known and not whole else every
-            rows = sum(f.rows for f in touched) + sum(d[1] for d in past)
+            rows = sum(d[1] for d in past)
             revision = max(d[0] for d in past)
-            self._replace(t, touched, [self.view(t, revision, files=touched)], rows, revision)
+            first, parts = plain_key(t, F.col(t.key[0])), []
+            for s in self.shards(t):
+                held = [f for f in s.files if f in touched]
+                if held or not all(s.outside(d[3], d[4]) for d in past):
+                    view = self.view(t, revision, files=held)
+                    parts.append((view.where(s.condition(first)) if t.splits else view, rows + sum(f.rows for f in held)))
+            self._replace(t, touched, parts, revision)
             t.base = revision
             t.deltas = [d for d in t.deltas if d[0] > revision]
             self.catalog.save()
             return t.base_rows
 
     def split(self, t: Table, at: int | float | str) -> int:
-        """Rewrite the base files that hold keys on both sides of a first key, so that one begins there; the base's rows."""
+        """Let a shard begin at a first key, now and in later compactions; files that hold keys on both sides are rewritten. The base's rows."""
         with self.catalog.lock:
             self.compact(t)
-            for f in [f for f in self.files(t) if f.low is not None and f.low < at <= f.high]:
-                first = plain_key(t, F.col(t.key[0]))
+            first = plain_key(t, F.col(t.key[0]))
+            for f in [f for f in self.files(t) if f.low is not None and f.low < at and (f.high is None or at <= f.high)]:
                 held = self.base(t, files=[f])
-                self._replace(t, [f], [held.where(first < F.lit(at)), held.where(first >= F.lit(at))], f.rows, self.catalog.next_revision())
+                self._replace(t, [f], [(held.where(first < F.lit(at)), f.rows), (held.where(first >= F.lit(at)), f.rows)], self.catalog.next_revision())
+            t.splits = sorted({*t.splits, at})
             self.catalog.save()
             return t.base_rows
 
@@ -239,14 +272,15 @@ class Storage:
         """Write all base files again, with what indexes now ask for."""
         with self.catalog.lock:
             if self.files(t):
-                self._replace(t, self.files(t), [self.base(t)], t.base_rows, self.catalog.next_revision())
+                parts = [(self.base(t, files=s.files), sum(f.rows for f in s.files)) for s in self.shards(t) if s.files]
+                self._replace(t, self.files(t), parts, self.catalog.next_revision())
 
-    def _replace(self, t: Table, old: list[BaseFile], parts: list[DataFrame], count: int, number: int) -> None:
-        """Write frames, which share no file, as new base files in place of some others."""
-        files = max(1, -(-count // ROWS_A_FILE))
+    def _replace(self, t: Table, old: list[BaseFile], parts: list[tuple[DataFrame, int]], number: int) -> None:
+        """Write frames of so many rows at most, which share no file, as new base files in place of some others."""
         name = named(number)
         path = f"{self.folder(t)}/base/{name}"
-        for k, part in enumerate(parts):
+        for k, (part, rows) in enumerate(parts):
+            files = max(1, -(-rows // ROWS_A_FILE))
             writer = part.repartitionByRange(files, *t.key).sortWithinPartitions(*t.key).write.mode("append" if k else "overwrite")
             for column in {*t.indexes.values(), *t.key}:
                 writer = writer.option(f"parquet.bloom.filter.enabled#{column}", "true")

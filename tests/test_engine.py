@@ -374,3 +374,44 @@ def test_uncommitted_revisions_can_be_left_out(engine):
     rev = t.deltas[-1][0]
     batch = e.spark.createDataFrame([(1, rev), (2, rev + 5)], "id long, _rev long")
     assert [r["id"] for r in tail.committed(e.storage, t, batch).collect()] == [1]
+
+
+def test_splits_stay(engine, monkeypatch):
+    e = engine
+    monkeypatch.setattr("quern.sources.tables.ROWS_A_FILE", 100)
+    shards = lambda name: [(int(r["start"]), int(r["end"]), r["n_rows"]) for r in e.sql(f"ADMIN SHARDS {name}").collect()]
+    e.execute("CREATE TABLE p (id int PRIMARY KEY, g int)")
+    e.insert_frame("p", e.spark.range(1000).selectExpr("id * 2 AS id", "id % 7 AS g"))
+    e.execute("ADMIN COMPACT")
+    assert shards("p") == [(0, 1998, 1000)]
+    for at in (1500, 500, 501, 5000):
+        assert e.execute(f"ADMIN SPLIT TABLE p AT {at}").affected == 1000
+    assert shards("p") == [(0, 498, 250), (500, 500, 1), (502, 1498, 499), (1500, 1998, 250)]  # the shard from 5000 on holds nothing yet
+    assert [r["files"] > 1 for r in e.sql("ADMIN SHARDS p").collect()] == [True, False, True, True]
+    e.run_script("INSERT INTO p VALUES (499, 1), (6000, 2); DELETE FROM p WHERE id = 0; UPDATE p SET id = 1501 WHERE id = 502; UPDATE p SET g = 9 WHERE id = 500; ADMIN COMPACT")
+    after = [(2, 499, 250), (500, 500, 1), (504, 1498, 498), (1500, 1998, 251), (6000, 6000, 1)]
+    assert shards("p") == after
+    want = {2 * i: i % 7 for i in range(1000)} | {499: 1, 500: 9, 1501: 251 % 7, 6000: 2}
+    del want[0], want[502]
+    assert dict(rows(e, "SELECT * FROM p")) == want
+    e.execute("CREATE INDEX by_g ON p (g)")
+    again = Engine(e.spark, e.catalog.root)
+    assert shards("p") == after and dict(rows(again, "SELECT * FROM p")) == want and again.managed("p").splits == [500, 501, 1500, 5000]
+    for i in range(12):  # folds that rewrite only what changes touch
+        e.execute(f"INSERT INTO p VALUES ({497 + 4 * (i % 2)}, {i}), (5001, {i})")
+    e.execute("ADMIN COMPACT")
+    assert shards("p") == [(2, 499, 251), (500, 500, 1), (501, 1498, 499), (1500, 1998, 251), (5001, 6000, 2)]
+    assert dict(rows(e, "SELECT * FROM p")) == want | {497: 10, 501: 11, 5001: 11}
+    e.execute("DELETE FROM p WHERE id >= 501 AND id < 1500")
+    e.execute("ADMIN COMPACT")
+    assert [r["shard"] for r in e.sql("ADMIN SHARDS p").collect()] == ["p-0", "p-1", "p-3", "p-4"]
+    for bad in ("99999999999999999999", "x"):
+        with pytest.raises(AnalysisError):
+            e.execute(f"ADMIN SPLIT TABLE p AT {bad}")
+    for kind, at, keys in (("timestamp", "'2024-01-01T02:00:00Z'", [datetime(2024, 1, 1, h) for h in range(4)]), ("string", "k2", [f"k{h}" for h in range(4)]), ("float", "2.0", [0.0, 1.0, 2.0, float("nan")])):
+        e.execute(f"CREATE TABLE {kind}s (k {kind} PRIMARY KEY, n int)")
+        e.execute(f"ADMIN SPLIT TABLE {kind}s AT {at}")  # before any row is there
+        e.insert_frame(f"{kind}s", e.spark.createDataFrame([(k, i) for i, k in enumerate(keys)], f"k {({'float': 'double'}).get(kind, kind)}, n long"))
+        e.execute("ADMIN COMPACT")
+        assert [r["n_rows"] for r in e.sql(f"ADMIN SHARDS {kind}s").collect()] == [2, 2], kind
+        assert sorted(r[0] for r in rows(e, f"SELECT n FROM {kind}s")) == [0, 1, 2, 3]
